@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD_BITS = 63
+UNROLLED_WORDS = 24  # longer unrolled expressions outgrow what the JVM compiles
 
 
 def n_words(k: int) -> int:
@@ -69,15 +70,26 @@ def _total(terms: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, terms).cast("bigint")
 
 
+def _count_folded(words: Column) -> Column:
+    return F.aggregate(words, F.lit(0).cast("bigint"), lambda n, w: n + F.bit_count(w))
+
+
 def cardinality(words: Column, k: int) -> Column:
+    if n_words(k) > UNROLLED_WORDS:
+        return _count_folded(words)
     return _total([F.bit_count(words[i]) for i in range(n_words(k))])
 
 
 def and_count(a: Column, b: Column, k: int) -> Column:
+    if n_words(k) > UNROLLED_WORDS:
+        return _count_folded(F.zip_with(a, b, lambda x, y: x.bitwiseAND(y)))
     return _total([F.bit_count(a[i].bitwiseAND(b[i])) for i in range(n_words(k))])
 
 
-def xor_count(a: Column, b: Column, k: int) -> Column:
+def xor_count(a: Column, b: Column, k: int, in_join: bool = False) -> Column:
+    """Differing bits.  Inside a join condition the short form keeps the compiled join small."""
+    if in_join or n_words(k) > UNROLLED_WORDS:
+        return _count_folded(F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)))
     return _total([F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(n_words(k))])
 
 

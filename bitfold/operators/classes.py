@@ -13,17 +13,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitfold.functions.bits import packed
 from bitfold.functions.hashing import hash32
 from bitfold.operators.encode import BinarySets
 from bitfold.session import materialize
 
-FILTER_BITS = 1_008  # length of the OR bitmap that prunes candidate pairs
-
 
 @dataclass(frozen=True)
 class SetClasses:
-    """``classes(doc_id, card, bitmap, n_left, n_right)`` and the items of each class.
+    """``classes(doc_id, card, n_left, n_right)`` and the items of each class.
 
     ``doc_id`` is the smallest member id.  ``n_left``/``n_right`` count the members of each
     side (both are the class size when a table is compared with itself).
@@ -46,7 +43,6 @@ def collapse_copies(sets: BinarySets, sides: DataFrame | None = None) -> SetClas
     64-bit hashes and a sum of 32-bit hashes), all combined map-side.
     """
     feature = F.col("feature_id")
-    bucket = hash32(feature, 0, "filter") % FILTER_BITS
     rows = sets.docs.select("doc_id", F.lit(None).cast("bigint").alias("feature_id")).unionByName(
         sets.items.select("doc_id", "feature_id")
     )
@@ -57,7 +53,6 @@ def collapse_copies(sets: BinarySets, sides: DataFrame | None = None) -> SetClas
         F.coalesce(F.bit_xor(F.when(known, F.xxhash64(feature))), zero).alias("f1"),
         F.coalesce(F.bit_xor(F.when(known, F.xxhash64(feature, F.lit(1)))), zero).alias("f2"),
         F.coalesce(F.sum(hash32(feature, 0, "fingerprint")), zero).alias("f3"),
-        packed(bucket, FILTER_BITS, F.bit_or).alias("bitmap"),
     )
     if sides is None:
         prints = prints.withColumn("n_left", F.lit(1)).withColumn("n_right", F.lit(1))
@@ -71,12 +66,11 @@ def collapse_copies(sets: BinarySets, sides: DataFrame | None = None) -> SetClas
     shape = ["card", "f1", "f2", "f3"]
     grouped = prints.groupBy(*shape).agg(
         F.min("doc_id").alias("class_id"),
-        F.first("bitmap").alias("bitmap"),
         F.sum("n_left").alias("n_left"),
         F.sum("n_right").alias("n_right"),
     )
     grouped = materialize(grouped, "classes")
-    classes = grouped.select(F.col("class_id").alias("doc_id"), "card", "bitmap", "n_left", "n_right")
+    classes = grouped.select(F.col("class_id").alias("doc_id"), "card", "n_left", "n_right")
     items = sets.items.join(classes.select("doc_id"), "doc_id", "left_semi")
     members = prints.select("doc_id", *shape).join(grouped.select("class_id", *shape), shape)
     return SetClasses(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from bitfold.functions.hashing import hash32
 from bitfold.operators.ranking import ordered_rank
-from bitfold.session import materialize
+from bitfold.session import materialize, spread
 
 # fixed value: a token is a maximal run of two or more letters, digits or underscores
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -85,7 +85,8 @@ def tokens(
     Duplicates inside a document are removed in its own row, so this needs no shuffle.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(TOKEN_PATTERN), F.lit(0)))
-    exploded = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.explode(words).alias("term"))
+    texts = spread(documents.select(F.col(id_col).cast("bigint").alias("doc_id"), text_col))
+    exploded = texts.select("doc_id", F.explode(words).alias("term"))
     if not stop_words:
         return exploded
     return exploded.where(~F.col("term").isin(list(stop_words)))

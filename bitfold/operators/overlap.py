@@ -1,13 +1,14 @@
 """All pairs of rows whose exact similarity reaches a threshold, without comparing all pairs.
 
 1. Copies collapse to weighted classes (``collapse_copies``).
-2. Features are ordered rare-first.  Two sets that reach the threshold share at least
-   ``need`` features, so they share one among all but the ``need - 1`` most frequent
-   features of each: only that prefix is indexed.  Very common features are left out of
-   almost every prefix.
-3. Prefix rows meet on the feature (hot features are cut into blocks), under a size test and
-   a bitmap test: buckets in which two OR bitmaps differ never outnumber the features in
-   which the sets differ.  Both tests can only drop pairs below the threshold.
+2. Features are ordered rare-first, in bands of similar frequency.  Sets that reach the
+   threshold share at least ``need`` features.  Each set drops its most frequent bands as
+   long as fewer than ``need - MIN_SHARED`` features go with them; what is kept is indexed.
+   Very common features are dropped by almost every set.
+3. Indexed rows meet on the feature (hot features are cut into blocks).  Of the features two
+   sets share, at most ``max(dropped_i, dropped_j)`` are missing from the index of either, so
+   a pair that reaches the threshold is seen ``need - max(dropped)`` times or more.  Pairs
+   seen less often are discarded; none above the threshold is.
 4. The remaining pairs are verified on the full sets.
 """
 
@@ -16,14 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitfold.functions.bits import xor_count
 from bitfold.functions.similarity import compare, exact_similarity, require_thresholdable
-from bitfold.operators.classes import FILTER_BITS, SetClasses
+from bitfold.operators.classes import SetClasses
 from bitfold.operators.encode import aligned_set_arrays, chunk_count
-from bitfold.operators.skewjoin import blocked_join
+from bitfold.operators.postings import meet_on_key
 from bitfold.session import materialize
 
 BANDS_PER_OCTAVE = 4
+MIN_SHARED = 8  # indexed features a pair has to share when its sets are large enough
 SLACK = 1e-9  # keeps the necessary conditions on the safe side of rounding
 
 
@@ -50,11 +51,10 @@ def _pair_need(card_a: Column, card_b: Column, similarity: str, threshold: float
 
 
 def _prefix_index(sets: SetClasses, similarity: str, threshold: float) -> DataFrame:
-    """``(feature_id, doc_id, card, bitmap, n_left, n_right)`` for the features of each prefix.
+    """``(feature_id, doc_id, card, dropped, n_left, n_right)`` for the kept features.
 
-    Features are put in bands of similar document frequency, and a set keeps whole bands
-    from the rare end: a prefix may be longer than needed, never shorter.  Band sizes per
-    set are map-side combined counts, so a huge set costs no more than its bands.
+    Band sizes per set are map-side combined counts, so a huge set costs no more than its
+    bands.
     """
     df = sets.items.groupBy("feature_id").agg(F.count("*").alias("df"))
     band = F.ceil(F.log2(F.col("df").cast("double")) * BANDS_PER_OCTAVE).cast("int").alias("band")
@@ -68,47 +68,38 @@ def _prefix_index(sets: SetClasses, similarity: str, threshold: float) -> DataFr
     sizes = banded.groupBy("doc_id", "band").agg(F.count("*").alias("n"))
     running = sizes.select("doc_id", "band", F.sum("n").over(frequent_first).alias("so_far"))
     classes = sets.classes.where(F.col("card") > 0)
-    cut = (
-        running.join(classes.select("doc_id", "card"), "doc_id")
-        .where(F.col("so_far") >= _own_need(F.col("card"), similarity, threshold))
-        .groupBy("doc_id")
-        .agg(F.max("band").alias("last_band"))
+    may_drop = _own_need(F.col("card"), similarity, threshold) - MIN_SHARED
+    goes = F.col("so_far") <= may_drop
+    kept = (
+        running.join(classes, "doc_id")
+        .groupBy("doc_id", "card", "n_left", "n_right")
+        .agg(
+            F.max(F.when(~goes, F.col("band"))).alias("last_band"),
+            F.coalesce(F.max(F.when(goes, F.col("so_far"))), F.lit(0).cast("bigint")).alias("dropped"),
+        )
     )
-    kept = cut.join(classes, "doc_id")
     shared = banded.where(F.col("band") > 0)  # band 0: features of a single set
     index = shared.join(kept, "doc_id").where(F.col("band") <= F.col("last_band"))
     return materialize(
-        index.select("feature_id", "doc_id", "card", "bitmap", "n_left", "n_right"), "prefix-index"
-    )
-
-
-def _side(index: DataFrame, side: str) -> DataFrame:
-    return index.select(
-        "feature_id",
-        *[F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "card", "bitmap", "n_left", "n_right")],
+        index.select("feature_id", "doc_id", "card", "dropped", "n_left", "n_right"), "prefix-index"
     )
 
 
 def _candidates(index: DataFrame, similarity: str, threshold: float, two_sided: bool) -> DataFrame:
-    a, b = _side(index, "a"), _side(index, "b")
-    card_a, card_b = F.col("a_card"), F.col("b_card")
-    need = _pair_need(card_a, card_b, similarity, threshold)
-    differ = xor_count(F.col("a_bitmap"), F.col("b_bitmap"), FILTER_BITS)
-    possible = (F.least(card_a, card_b) >= need) & (differ <= card_a + card_b - 2 * need)
-    if two_sided:
-        a, b = a.where(F.col("a_n_left") > 0), b.where(F.col("b_n_right") > 0)
-        ordered = F.col("a_doc_id") != F.col("b_doc_id")
-    else:
-        ordered = F.col("a_doc_id") < F.col("b_doc_id")
-    met = blocked_join(a, b, "feature_id", "a_doc_id", "b_doc_id", ordered & possible)
-    return met.select(
-        F.col("a_doc_id").alias("i"),
-        F.col("b_doc_id").alias("j"),
-        F.col("a_card").alias("card_i"),
-        F.col("b_card").alias("card_j"),
-        F.col("a_n_left").alias("n_i"),
-        F.col("b_n_right").alias("n_j"),
-    ).distinct()
+    met = meet_on_key(index, "feature_id", "doc_id", ["card", "dropped", "n_left", "n_right"], two_sided)
+    i, j = F.col("a.doc_id").alias("i"), F.col("b.doc_id").alias("j")
+    need = _pair_need(F.col("a.card"), F.col("b.card"), similarity, threshold)
+    seen = (
+        met.where(F.least("a.card", "b.card") >= need)
+        .groupBy(
+            i, j,
+            F.col("a.card").alias("card_i"), F.col("b.card").alias("card_j"),
+            F.col("a.n_left").alias("n_i"), F.col("b.n_right").alias("n_j"),
+            (need - F.greatest("a.dropped", "b.dropped")).alias("wanted"),
+        )
+        .agg(F.count("*").alias("seen"))
+    )
+    return seen.where(F.col("seen") >= F.col("wanted")).drop("seen", "wanted")
 
 
 def _verified(candidates: DataFrame, sets: SetClasses) -> DataFrame:

@@ -43,3 +43,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a CPU-heavy stage every slot when the scan alone yields fewer partitions.
+
+    A large input already has more splits than slots and passes through untouched, so
+    nothing is shuffled at scale; a table in one small file is dealt out once.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots)
