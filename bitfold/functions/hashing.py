@@ -38,3 +38,8 @@ def hash32(key: Column, seed: int, purpose: str) -> Column:
     key = key.cast("bigint")
     low = key.bitwiseXOR(F.shiftright(key, 32)).bitwiseAND(F.lit(MASK32))
     return mix32(low.bitwiseXOR(F.lit(seed_constant(seed, purpose)).cast("bigint")))
+
+
+def long_array(values) -> Column:
+    """An ARRAY<BIGINT> literal; Catalyst folds it to one constant."""
+    return F.array(*[F.lit(int(v)).cast("bigint") for v in values])

@@ -14,6 +14,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,29 +52,26 @@ def _pair_need(card_a: Column, card_b: Column, similarity: str, threshold: float
     return F.greatest(F.ceil(bound - SLACK), F.lit(1).cast("bigint"))
 
 
-def _prefix_index(sets: SetClasses, similarity: str, threshold: float) -> DataFrame:
-    """``(feature_id, doc_id, card, dropped, n_left, n_right)`` for the kept features.
+def prefix_index(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """``(feature_id, doc_id, card, need, dropped, n_left, n_right)`` for the kept features.
 
-    Band sizes per set are map-side combined counts, so a huge set costs no more than its
-    bands.
+    ``rows(doc_id, card, need, n_left, n_right)`` states how many features a set has to share
+    at least with any partner.  Band sizes per set are map-side combined counts, so a huge set
+    costs no more than its bands.
     """
-    df = sets.items.groupBy("feature_id").agg(F.count("*").alias("df"))
+    df = items.groupBy("feature_id").agg(F.count("*").alias("df"))
     band = F.ceil(F.log2(F.col("df").cast("double")) * BANDS_PER_OCTAVE).cast("int").alias("band")
-    banded = materialize(
-        sets.items.join(df, "feature_id").select("doc_id", "feature_id", band), "banded"
-    )
+    banded = materialize(items.join(df, "feature_id").select("doc_id", "feature_id", band), "banded")
     frequent_first = (
         Window.partitionBy("doc_id").orderBy(F.col("band").desc())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     sizes = banded.groupBy("doc_id", "band").agg(F.count("*").alias("n"))
     running = sizes.select("doc_id", "band", F.sum("n").over(frequent_first).alias("so_far"))
-    classes = sets.classes.where(F.col("card") > 0)
-    may_drop = _own_need(F.col("card"), similarity, threshold) - MIN_SHARED
-    goes = F.col("so_far") <= may_drop
+    goes = F.col("so_far") <= F.col("need") - MIN_SHARED
     kept = (
-        running.join(classes, "doc_id")
-        .groupBy("doc_id", "card", "n_left", "n_right")
+        running.join(rows, "doc_id")
+        .groupBy("doc_id", "card", "need", "n_left", "n_right")
         .agg(
             F.max(F.when(~goes, F.col("band"))).alias("last_band"),
             F.coalesce(F.max(F.when(goes, F.col("so_far"))), F.lit(0).cast("bigint")).alias("dropped"),
@@ -81,18 +80,25 @@ def _prefix_index(sets: SetClasses, similarity: str, threshold: float) -> DataFr
     shared = banded.where(F.col("band") > 0)  # band 0: features of a single set
     index = shared.join(kept, "doc_id").where(F.col("band") <= F.col("last_band"))
     return materialize(
-        index.select("feature_id", "doc_id", "card", "dropped", "n_left", "n_right"), "prefix-index"
+        index.select("feature_id", "doc_id", "card", "need", "dropped", "n_left", "n_right"),
+        "prefix-index",
     )
 
 
-def _candidates(index: DataFrame, similarity: str, threshold: float, two_sided: bool) -> DataFrame:
-    met = meet_on_key(index, "feature_id", "doc_id", ["card", "dropped", "n_left", "n_right"], two_sided)
-    i, j = F.col("a.doc_id").alias("i"), F.col("b.doc_id").alias("j")
-    need = _pair_need(F.col("a.card"), F.col("b.card"), similarity, threshold)
+def seen_often_enough(index: DataFrame, two_sided: bool, pair_need=None) -> DataFrame:
+    """``(i, j, card_i, card_j, n_i, n_j)`` for pairs whose index rows meet often enough.
+
+    ``pair_need(card_i, card_j)`` sharpens the need of a pair beyond that of its two rows.
+    """
+    payload = ["card", "need", "dropped", "n_left", "n_right"]
+    met = meet_on_key(index, "feature_id", "doc_id", payload, two_sided)
+    need = F.greatest("a.need", "b.need")
+    if pair_need is not None:
+        need = F.greatest(need, pair_need(F.col("a.card"), F.col("b.card")))
     seen = (
         met.where(F.least("a.card", "b.card") >= need)
         .groupBy(
-            i, j,
+            F.col("a.doc_id").alias("i"), F.col("b.doc_id").alias("j"),
             F.col("a.card").alias("card_i"), F.col("b.card").alias("card_j"),
             F.col("a.n_left").alias("n_i"), F.col("b.n_right").alias("n_j"),
             (need - F.greatest("a.dropped", "b.dropped")).alias("wanted"),
@@ -140,8 +146,15 @@ def similar_pairs(
         if comparison == "ge" or threshold < 0:
             raise ValueError("a threshold that keeps disjoint pairs would list every pair")
         threshold = 0.0
-    index = _prefix_index(sets, similarity, threshold)
-    verified = _verified(_candidates(index, similarity, threshold, two_sided), sets)
+    # an integer overlap above t is at least floor(t) + 1
+    bound = math.floor(threshold) + 1 if (similarity, comparison) == ("inner_product", "gt") else threshold
+    rows = sets.classes.where(F.col("card") > 0).withColumn("need", _own_need(F.col("card"), similarity, bound))
+    candidates = seen_often_enough(
+        prefix_index(rows, sets.items),
+        two_sided,
+        lambda card_i, card_j: _pair_need(card_i, card_j, similarity, bound),
+    )
+    verified = _verified(candidates, sets)
     pairs = verified.withColumn("n_pairs", F.col("n_i") * F.col("n_j"))
 
     several = sets.classes.where(F.col("card") > 0)
