@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,18 +52,6 @@ def packed_long(docs: DataFrame, bucketed: DataFrame, k: int, combine) -> DataFr
     return placed.select("doc_id", sketch.alias("sketch"))
 
 
-@F.pandas_udf("array<bigint>")
-def pack_signs_udf(lanes: pd.Series) -> pd.Series:
-    """Words whose bit j says that lane j is not negative."""
-    signs = np.stack(lanes.to_numpy()) >= 0
-    k = signs.shape[1]
-    words = [
-        (signs[:, w : w + WORD_BITS].astype(np.int64) << np.arange(min(WORD_BITS, k - w))).sum(axis=1)
-        for w in range(0, k, WORD_BITS)
-    ]
-    return pd.Series(list(np.stack(words, axis=1)))
-
-
 def _total(terms: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, terms).cast("bigint")
 

@@ -11,9 +11,13 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from bitfold.functions.bits import WORD_BITS
 from bitfold.functions.hashing import PRIME31
 
+LONGS = T.ArrayType(T.LongType())
+
 GAUSS_SCALE = float(1 << 20)  # projections are summed as integers of 2^-20
 
 
@@ -33,7 +37,7 @@ def _end_to_end(features: pd.Series) -> tuple[np.ndarray, np.ndarray]:
 def lane_minima_udf(coefficients: list[list[int]]):
     """array of features -> array of the k smallest hashes, one per lane."""
 
-    @F.pandas_udf("array<bigint>")
+    @F.pandas_udf(LONGS)
     def lane_minima(features: pd.Series) -> pd.Series:
         if not len(features):
             return pd.Series([], dtype=object)
@@ -49,7 +53,7 @@ def lane_minima_udf(coefficients: list[list[int]]):
 def gaussian_sums_udf(coefficients: list[list[int]], k: int):
     """array of 31-bit feature hashes -> array of k summed Gaussian draws (scaled integers)."""
 
-    @F.pandas_udf("array<bigint>")
+    @F.pandas_udf(LONGS)
     def gaussian_sums(features: pd.Series) -> pd.Series:
         if not len(features):
             return pd.Series([], dtype=object)
@@ -64,3 +68,17 @@ def gaussian_sums_udf(coefficients: list[list[int]], k: int):
         return pd.Series(list(out[:, :k]))
 
     return gaussian_sums
+
+
+@F.pandas_udf(LONGS)
+def pack_signs_udf(lanes: pd.Series) -> pd.Series:
+    """Words whose bit j says that lane j is not negative."""
+    if not len(lanes):
+        return pd.Series([], dtype=object)
+    signs = np.stack(lanes.to_numpy()) >= 0
+    k = signs.shape[1]
+    words = [
+        (signs[:, w : w + WORD_BITS].astype(np.int64) << np.arange(min(WORD_BITS, k - w))).sum(axis=1)
+        for w in range(0, k, WORD_BITS)
+    ]
+    return pd.Series(list(np.stack(words, axis=1)))

@@ -15,10 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitfold.functions.bits import cardinality, n_words, packed, packed_long, pack_signs_udf
+from bitfold.functions.bits import cardinality, n_words, packed, packed_long
 from bitfold.functions.estimators import get_estimator
 from bitfold.functions.hashing import PRIME31, hash32
-from bitfold.functions.lanes import draw_coefficients, gaussian_sums_udf, lane_minima_udf
+from bitfold.functions.lanes import draw_coefficients, gaussian_sums_udf, lane_minima_udf, pack_signs_udf
 from bitfold.operators.encode import BinarySets, set_arrays
 from bitfold.operators.ranking import hash_rank
 
