@@ -16,7 +16,7 @@ def meet_on_key(
     row_id: str,
     payload: list[str],
     two_sided: bool = False,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Every pair of index rows with the same key, as structs ``a`` and ``b``.
 
@@ -29,6 +29,7 @@ def meet_on_key(
     spread over as many tasks as it has cells.  Key sizes are a map-side combined count; the
     table of hot keys is joined without a hint, so Spark broadcasts it only when small.
     """
+    block_rows = block_rows or BLOCK_ROWS
     hot = (
         index.groupBy(key)
         .agg(F.count("*").alias("n"))
