@@ -12,8 +12,11 @@ from bitfold.operators.ranking import ordered_rank
 
 # fixed values: a gzip file starts with these bytes
 GZIP_MAGIC = (0x1F, 0x8B)
-# without the gzip codec a reader takes a file named .gz as the plain text it is
-PLAIN_CODECS = {"io.compression.codecs": "org.apache.hadoop.io.compress.BZip2Codec"}
+# reads a file named .gz as the plain text it is
+PLAIN_DESPITE_NAME = {
+    "io.compression.codecs": "org.apache.hadoop.io.compress.PassthroughCodec",
+    "io.compress.passthrough.extension": ".gz",
+}
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
@@ -53,7 +56,7 @@ def read_docword_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(file, at, parts)``: the whitespace-separated fields of every line."""
     reader = spark.read
     if path.endswith(".gz") and not _is_gzip(spark, path):
-        reader = reader.options(**PLAIN_CODECS)
+        reader = reader.options(**PLAIN_DESPITE_NAME)
     return reader.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.monotonically_increasing_id().alias("at"),
@@ -74,10 +77,10 @@ def read_header(lines: DataFrame) -> DataFrame:
 
 def parse_triples(lines: DataFrame) -> DataFrame:
     """``(doc_id, word_id, count)`` of the lines with exactly three integers; ids 1-based."""
+    names = ("doc_id", "word_id", "count")
     three = lines.where(F.size("parts") == 3)
-    return three.select(
-        *[F.col("parts")[i].cast("bigint").alias(name) for i, name in enumerate(("doc_id", "word_id", "count"))]
-    )
+    numbers = three.select(*[F.col("parts")[i].try_cast("bigint").alias(n) for i, n in enumerate(names)])
+    return numbers.dropna()
 
 
 def populate(triples: DataFrame, n_docs: DataFrame) -> DataFrame:
@@ -139,7 +142,7 @@ def read_text_folder(spark: SparkSession, folder: str) -> DataFrame:
         .option("ignoreMissingFiles", True)
         .load(folder)
     )
-    texts = files.select("path", F.decode("content", F.lit("ISO-8859-1")).alias("text"))
+    texts = files.select("path", F.decode("content", "ISO-8859-1").alias("text"))
     return ordered_rank(texts, "path", "doc_id").select("doc_id", "path", "text")
 
 
