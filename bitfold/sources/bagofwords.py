@@ -12,11 +12,6 @@ from bitfold.operators.ranking import ordered_rank
 
 # fixed values: a gzip file starts with these bytes
 GZIP_MAGIC = (0x1F, 0x8B)
-# reads a file named .gz as the plain text it is
-PLAIN_DESPITE_NAME = {
-    "io.compression.codecs": "org.apache.hadoop.io.compress.PassthroughCodec",
-    "io.compress.passthrough.extension": ".gz",
-}
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
@@ -53,15 +48,21 @@ def _is_gzip(spark: SparkSession, path: str) -> bool:
 
 
 def read_docword_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, at, parts)``: the whitespace-separated fields of every line."""
-    reader = spark.read
+    """``(file, at, parts)``: the whitespace-separated fields of every line.
+
+    Spark picks the decompressor by file name.  A plain text that is named ``.gz`` is read as
+    one binary value (up to 2 GB, like any unsplittable file in one task) and cut into lines.
+    """
     if path.endswith(".gz") and not _is_gzip(spark, path):
-        reader = reader.options(**PLAIN_DESPITE_NAME)
-    return reader.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.monotonically_increasing_id().alias("at"),
-        F.split(F.trim("value"), r"\s+").alias("parts"),
-    )
+        text = F.decode("content", "ISO-8859-1")
+        lines = spark.read.format("binaryFile").load(path).select(
+            F.col("path").alias("file"), F.posexplode(F.split(text, "\n")).alias("at", "value")
+        )
+    else:
+        lines = spark.read.text(path).select(
+            F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), "value"
+        )
+    return lines.select("file", F.col("at").cast("bigint").alias("at"), F.split(F.trim("value"), r"\s+").alias("parts"))
 
 
 def read_header(lines: DataFrame) -> DataFrame:
