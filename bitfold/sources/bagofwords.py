@@ -68,9 +68,9 @@ def read_docword_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_header(lines: DataFrame) -> DataFrame:
     """One row ``(n_docs, n_words, nnz)`` from the three single-number lines."""
     single = lines.where((F.size("parts") == 1) & F.col("parts")[0].rlike("^[0-9]+$"))
-    # three header lines at the head of one file
+    head = single.orderBy("file", "at").limit(3)
     ordered = F.sort_array(F.collect_list(F.struct("file", "at", F.col("parts")[0].cast("bigint").alias("v"))))
-    values = single.agg(ordered.alias("h")).select(F.col("h.v").alias("v"))
+    values = head.agg(ordered.alias("h")).select(F.col("h.v").alias("v"))
     return values.select(
         F.get("v", F.lit(0)).alias("n_docs"), F.get("v", F.lit(1)).alias("n_words"), F.get("v", F.lit(2)).alias("nnz")
     )
