@@ -1,5 +1,13 @@
 """Sketching and similarity search over large collections of sparse binary sets, on Spark."""
 
+import sys
+
+from pyspark import cloudpickle
+
+# functions sent to executors carry this package's code along, so it need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 from bitfold.functions.estimators import get_estimator
 from bitfold.operators.classes import SetClasses, collapse_copies
 from bitfold.operators.encode import BinarySets, binarize, coordinate_export, encode_relation, encode_text
