@@ -7,13 +7,19 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from bitfold.llm import exact, language, pieces
+from bitfold.llm import exact, language, licenses, mixing, nearcopies, pieces, quality, secrets, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": language.op1_language_id,
+        "op2_secret_scan": secrets.op2_secret_scan,
         "op3_exact_dedup": exact.op3_exact_dedup,
+        "op4_url_filter": urls.op4_url_filter,
+        "op5_source_mixing": mixing.op5_source_mixing,
+        "op6_license_scan": licenses.op6_license_scan,
+        "op7_quality_rules": quality.op7_quality_rules,
+        "op9_near_dedup": nearcopies.op9_near_dedup,
         "op10_sentencepiece": pieces.op10_sentencepiece,
         "pipeline": corpus_pipeline.run,
     }
