@@ -34,8 +34,8 @@ from bitfold.session import materialize
 
 WIDTH, SIMILARITY_PERCENT = 5, 80
 BANDS, ROWS = 38, 6
-HUB_ROUNDS = 3
-BLOCK_ROWS = 512  # members of one bucket and component that are held together
+HUB_ROUNDS = 2
+BLOCK_ROWS = 256  # members of one bucket that are held together
 
 
 def second_permutation(x: np.ndarray) -> None:
@@ -135,27 +135,69 @@ def labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
 
 
 def hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """Each member with its bucket's hub: the smallest node first, hash-chosen ones in later turns."""
-    order = F.struct("node") if turn == 0 else F.struct(F.xxhash64("node", "band", F.lit(turn)).alias("h"), "node")
-    hubs = rows.groupBy("band").agg(F.min(F.struct(order.alias("o"), "node", "n", "component")).alias("hub"))
-    met = rows.join(hubs.hint("merge"), "band").where(F.col("component") != F.col("hub.component"))
-    return met.select(F.col("hub.node").alias("i"), F.col("node").alias("j"), F.col("hub.n").alias("n_i"), F.col("n").alias("n_j"))
-
-
-def crossing_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs of one bucket from different components.
+    """Each member with one hub, hence no more pairs than members.
 
-    A bucket's members are cut into blocks; every pair of blocks meets in a cell of its own, so
-    no task holds more than two blocks whatever the bucket's size.
+    A bucket's hub is its most popular member, the one with most company over all its buckets: of a
+    text and its edited copies that is the text, which is nearer to the copies than they are to
+    each other.  In later turns hubs are hash-chosen.  A member takes the best hub of its buckets.
+    """
+    if turn == 0:
+        sizes = rows.groupBy("band").agg(F.count("*").alias("size"))
+        company = rows.join(sizes.hint("merge"), "band").groupBy("node").agg((-F.sum("size")).alias("order"))
+        rows = rows.join(company.hint("merge"), "node")
+    else:
+        rows = rows.withColumn("order", F.xxhash64("node", F.lit(turn)))
+    hubs = rows.groupBy("band").agg(F.min(F.struct("order", "node", "n", "component")).alias("hub"))
+    met = rows.join(hubs.hint("merge"), "band").where(F.col("component") != F.col("hub.component"))
+    best = met.groupBy("node", "n").agg(F.min("hub").alias("hub"))
+    return best.select(F.col("hub.node").alias("i"), F.col("node").alias("j"), F.col("hub.n").alias("n_i"), F.col("n").alias("n_j"))
+
+
+def cell_links(percent: int):
+    """Similar pairs from different components among the sets of one cell."""
+
+    def compare(cell: pa.Table) -> pa.Table:
+        cell = cell.combine_chunks()
+        node, component, block = (cell[c].to_numpy() for c in ("node", "component", "block"))
+        lists = cell["shingles"].combine_chunks()
+        ends = lists.offsets.to_numpy()
+        flat = lists.values.to_numpy()[ends[0] : ends[-1]]
+        starts, sizes = ends[:-1] - ends[0], np.diff(ends)
+        values, token = np.unique(flat, return_inverse=True)
+        mark = np.zeros(len(values), np.int32)
+        found_i, found_j = [], []
+        across = len(set(block.tolist())) > 1
+        for x in range(len(node)):
+            other = (component != component[x]) & (node > node[x])
+            if across:
+                other &= block != block[x]
+            if not other.any():
+                continue
+            own = token[starts[x] : starts[x] + sizes[x]]
+            mark[own] = 1
+            shared = np.add.reduceat(mark[token], starts)
+            mark[own] = 0
+            good = other & (shared * 100 >= (sizes + sizes[x] - shared) * percent)
+            found_j += node[good].tolist()
+            found_i += [node[x]] * int(good.sum())
+        return pa.table({"i": pa.array(found_i, pa.int64()), "j": pa.array(found_j, pa.int64())})
+
+    return compare
+
+
+def crossing_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All links between members of one bucket that lie in different components.
+
+    A bucket's members are cut into blocks; every two blocks meet in a cell of their own, so no
+    task holds more than two blocks, whatever the bucket's size, and only links leave a cell.
     """
     sizes = rows.groupBy("band").agg(F.ceil(F.count("*") / F.lit(float(BLOCK_ROWS))).cast("int").alias("blocks"))
     placed = rows.join(sizes.hint("merge"), "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    near = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = placed.select("band", F.col("block").alias("p"), near.alias("q"), F.struct("node", "n", "component").alias("x"))
-    right = placed.select("band", near.alias("p"), F.col("block").alias("q"), F.struct("node", "n", "component").alias("y"))
-    met = left.join(right.hint("merge"), ["band", "p", "q"])
-    met = met.where((F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")))
-    return met.select(F.col("x.node").alias("i"), F.col("y.node").alias("j"), F.col("x.n").alias("n_i"), F.col("y.n").alias("n_j"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = spread.select("band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "node", "component", "block")
+    full = cells.join(sets.hint("merge"), "node")
+    found = full.groupBy("band", "p", "q").applyInArrow(cell_links(percent), "i bigint, j bigint")
+    return found.distinct()
 
 
 def linked(members: DataFrame, sets: DataFrame, percent: int, hub_rounds: int) -> DataFrame | None:
@@ -165,8 +207,9 @@ def linked(members: DataFrame, sets: DataFrame, percent: int, hub_rounds: int) -
         rows = labelled(members, links)
         if rows.isEmpty():
             break
-        pairs = hub_pairs(rows, turn) if turn < hub_rounds else crossing_pairs(rows)
-        pairs = pairs.where(can_reach(F.col("n_i"), F.col("n_j"), percent))
+        if turn == hub_rounds:
+            return materialize(links.unionByName(crossing_links(rows, sets, percent)), "confirmed")
+        pairs = hub_pairs(rows, turn).where(can_reach(F.col("n_i"), F.col("n_j"), percent))
         pairs = pairs.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["i", "j"], "left_anti")
