@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from bitfold.llm import exact, language, licenses, mixing, nearcopies, pieces, quality, secrets, urls
+from bitfold.llm import exact, language, licenses, mixing, nearcopies, pieces, quality, secrets, suffixes, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_source_mixing": mixing.op5_source_mixing,
         "op6_license_scan": licenses.op6_license_scan,
         "op7_quality_rules": quality.op7_quality_rules,
+        "op8_suffix_dedup": suffixes.op8_suffix_dedup,
         "op9_near_dedup": nearcopies.op9_near_dedup,
         "op10_sentencepiece": pieces.op10_sentencepiece,
         "pipeline": corpus_pipeline.run,
