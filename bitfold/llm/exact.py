@@ -108,36 +108,38 @@ def name_texts(texts: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return out.distinct()
 
 
+def mark_of(text: Column) -> Column:
+    """A digest that tells rows with one doc_id, or without any, apart; it stands for no text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), F.col("doc_id").isNull())
+
+
 def group_copies(documents: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(doc_id, mark, keep_id, group_size, kept, text_sha256)`` for every document.
 
-    Of equal normalised texts the longest original stays, then the smallest doc_id; ``mark`` (a
-    digest of the original) tells rows with one doc_id and different texts apart.
+    Of equal normalised texts the longest original stays, then the smallest doc_id (null first).
     """
     read = documents.select(
-        "doc_id", F.coalesce(F.col(text), F.lit("")).alias("_text"), normalised(F.col(text)).alias("norm")
-    ).withColumn("mark", F.xxhash64("_text"))
-    facts = read.select(
-        "doc_id", "mark", F.char_length("_text").alias("n"), F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")
-    ).distinct()
+        F.col("doc_id").alias("own_id"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), mark_of(F.col(text)).alias("mark"),
+        F.char_length(F.coalesce(text, F.lit(""))).alias("n"), normalised(F.col(text)).alias("norm"),
+    )
+    facts = read.select("doc_id", "mark", "own_id", "n", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")).distinct()
     names = name_texts(read.select("doc_id", "mark", "norm"), block_bytes)
-    rows = materialize(facts.join(names, ["doc_id", "mark"]), "identities")
-    first = F.min(F.struct((-F.col("n")).alias("n"), "doc_id", "mark"))
+    rows = materialize(facts.join(names, ["doc_id", "mark"]).drop("doc_id"), "identities")
+    first = F.min(F.struct((-F.col("n")).alias("n"), "own_id", "mark"))
     groups = rows.groupBy("level", "name").agg(first.alias("first"), F.count("*").alias("group_size"))
+    stays = F.col("first.own_id").eqNullSafe(F.col("own_id")) & (F.col("first.mark") == F.col("mark"))
     return rows.join(groups, ["level", "name"]).select(
-        "doc_id", "mark", F.col("first.doc_id").alias("keep_id"), "group_size",
-        ((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.mark") == F.col("mark"))).alias("kept"),
-        "text_sha256",
+        F.col("own_id").alias("doc_id"), "mark", F.col("first.own_id").alias("keep_id"), "group_size", stays.alias("kept"), "text_sha256"
     )
 
 
 def keep_first(documents: DataFrame, text: str = "text") -> DataFrame:
-    """``documents`` without dropped copies and without repeated rows of those kept."""
+    """``documents`` without dropped copies; repeated rows of those kept stay."""
     dropped = group_copies(documents, text).where(~F.col("kept")).select(
         F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")
     )
-    mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    return documents.join(dropped, F.col("doc_id").eqNullSafe(F.col("_id")) & (mark == F.col("_mark")), "left_anti")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (mark_of(F.col(text)) == F.col("_mark"))
+    return documents.join(dropped, same, "left_anti")
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -116,18 +116,18 @@ def texts_as_bytes(texts: pa.Array) -> Iterator[bytes]:
 def numbered(documents: DataFrame, text: str) -> DataFrame:
     """``(doc_id, doc, text)``: ``doc`` orders the documents and tells them apart.
 
-    It is the doc_id itself, unless that is null or shared by different texts somewhere; then
-    documents are numbered by (doc_id, digest of the text).
+    It is the doc_id itself, unless that is null or occurs twice somewhere; then documents are
+    numbered by (doc_id, digest of the text), and equal repeated rows become one.
     """
     read = documents.select("doc_id", F.col(f"`{text}`").alias("text"))
-    keys = read.select("doc_id", F.xxhash64("text").alias("mark")).distinct()
-    clash = keys.groupBy("doc_id").count().where((F.col("count") > 1) | F.col("doc_id").isNull())
-    if clash.isEmpty():
+    keys = read.groupBy("doc_id", F.xxhash64("text").alias("mark")).count()
+    per_id = keys.groupBy("doc_id").agg(F.count("*").alias("texts"), F.sum("count").alias("rows"))
+    if per_id.where((F.col("texts") > 1) | (F.col("rows") > 1) | F.col("doc_id").isNull()).isEmpty():
         return read.select("doc_id", F.col("doc_id").alias("doc"), "text")
     ranks = ordered_rank(keys.select(F.struct("doc_id", "mark").alias("key")), "key", "doc")
     ranks = ranks.select(F.col("key.doc_id").alias("_id"), F.col("key.mark").alias("_mark"), "doc")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_mark"))
-    return materialize(read.join(ranks, same).select("doc_id", "doc", "text"), "numbered")
+    return materialize(read.join(ranks, same).select("doc_id", "doc", "text").dropDuplicates(["doc"]), "numbered")
 
 
 def shard_marker(length: int):
@@ -251,7 +251,7 @@ def remove_copies(documents: DataFrame, text: str = "text", **options) -> DataFr
     ranges = copied_ranges(texts.select("doc", "text"), **options)
     by_doc = ranges.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     judged = texts.join(by_doc.hint("merge"), "doc", "left").select("doc_id", "doc", remover()(F.col("text"), F.col("ranges")).alias("r"))
-    return judged.distinct().select("doc_id", "r.*")
+    return judged.select("doc_id", "r.*")
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
