@@ -1,12 +1,11 @@
 """Sketching and similarity search over large collections of sparse binary sets, on Spark."""
 
-import sys
+import sys as _sys
 
-from pyspark import cloudpickle
+from pyspark import cloudpickle as _cloudpickle
 
 # functions sent to executors carry this package's code along, so it need not be installed there
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
 
 from bitfold.functions.estimators import get_estimator
 from bitfold.operators.classes import SetClasses, collapse_copies

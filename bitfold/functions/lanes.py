@@ -42,6 +42,7 @@ def lane_minima_udf(coefficients: list[list[int]]):
         if not len(features):
             return pd.Series([], dtype=object)
         x, starts = _end_to_end(features)
+        x %= PRIME31  # the hash is taken modulo the prime anyway, and products stay below 2^62
         out = np.empty((len(features), len(coefficients)), dtype=np.int64)
         for lane, (a, b) in enumerate(coefficients):
             out[:, lane] = np.minimum.reduceat((a * x + b) % PRIME31, starts)

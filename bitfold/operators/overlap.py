@@ -122,6 +122,20 @@ def _verified(candidates: DataFrame, sets: SetClasses) -> DataFrame:
     return met.groupBy(*candidates.columns).agg(F.sum(shared).alias("overlap"))
 
 
+def covers(truth: DataFrame, threshold: float, comparison: str = "ge") -> bool:
+    """Whether ``truth`` lists every pair on the upper side of ``threshold``.
+
+    Tables from ``similar_pairs`` say in the metadata of ``sim`` how far down they were searched; a
+    table that does not say is taken to be complete.
+    """
+    said = truth.schema["sim"].metadata
+    if "threshold" not in said:
+        return True
+    return said["threshold"] < threshold or (
+        said["threshold"] == threshold and (said["comparison"] == "ge" or comparison == "gt")
+    )
+
+
 def similar_pairs(
     sets: SetClasses,
     similarity: str,
@@ -139,6 +153,11 @@ def similar_pairs(
     A threshold of 0 would list every pair; those pairs are only ever counted, see
     ``profile.pair_profile``.
     """
+    found = _similar_pairs(sets, similarity, threshold, comparison, two_sided)
+    return found.withMetadata("sim", {"threshold": float(threshold), "comparison": comparison})
+
+
+def _similar_pairs(sets: SetClasses, similarity: str, threshold: float, comparison: str, two_sided: bool) -> DataFrame:
     require_thresholdable(similarity)
     if comparison not in ("ge", "gt"):
         raise ValueError("pairs are found by a lower bound: comparison must be 'ge' or 'gt'")

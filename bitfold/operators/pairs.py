@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bitfold.functions.hashing import hash32
 from bitfold.functions.similarity import compare, exact_similarity
 from bitfold.operators.encode import BinarySets
+from bitfold.operators.overlap import covers
 from bitfold.operators.ranking import hash_rank
 
 
@@ -66,12 +67,21 @@ def filter_by_threshold(truth: DataFrame, threshold: float, comparison: str = "g
     return truth.where(compare(F.col(sim), threshold, comparison))
 
 
+def unlisted_matter(truth: DataFrame, threshold: float, comparison: str) -> bool:
+    """Whether pairs that ``truth`` leaves out could lie on either side of ``threshold``."""
+    if comparison in ("ge", "gt") and threshold > 0:
+        return not covers(truth, threshold, comparison)
+    return not covers(truth, 0.0, "gt")
+
+
 def filter_report(truth: DataFrame, threshold: float, comparison: str = "ge", universe: int | None = None) -> DataFrame:
     """One row: how many pairs there were and how many the filter keeps.
 
     ``truth`` may carry ``n_pairs`` weights.  ``universe`` is the number of pairs when
     ``truth`` leaves out those of similarity 0.
     """
+    if universe is not None and unlisted_matter(truth, threshold, comparison):
+        raise ValueError("the pairs a truth leaves out can be told from its count only if it was searched far enough")
     weight = F.col("n_pairs") if "n_pairs" in truth.columns else F.lit(1)
     zero = F.lit(0).cast("bigint")
     held = F.coalesce(F.sum(weight), zero)

@@ -38,13 +38,14 @@ def meet_on_key(
     )
     rows = index.join(hot, key, "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
     rows = rows.withColumn("block", (hash32(F.col(row_id), 0, "block") % F.col("n_blocks")).cast("int"))
+    near = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
+    row = F.struct(F.col(row_id), F.col("block"), *payload).alias("row")
+    a_id, b_id = F.col(f"a.{row_id}"), F.col(f"b.{row_id}")
+    if two_sided:
+        return _across(rows.select(key, "block", "n_left", "n_right", near, row), key).where(a_id != b_id)
     # cell (p, q) with p <= q; a row of block b belongs to every cell that has b as p or q
-    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    cells = cells.select(
-        key,
-        F.least("block", "other").alias("p"),
-        F.greatest("block", "other").alias("q"),
-        F.struct(F.col(row_id), F.col("block"), *payload).alias("row"),
+    cells = rows.select(key, "block", near, row).select(
+        key, F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "row"
     )
     held = cells.groupBy(key, "p", "q").agg(F.collect_list("row").alias("rows"))
     held = held.where(F.size("rows") > 1)
@@ -52,7 +53,24 @@ def meet_on_key(
     pairs = first.select(key, "p", "q", "a", F.explode("rows").alias("b"))
     # in an off-diagonal cell only rows of different blocks meet; the others have their own cell
     own_cell = (F.col("p") == F.col("q")) | (F.col("a.block") != F.col("b.block"))
-    a_id, b_id = F.col(f"a.{row_id}"), F.col(f"b.{row_id}")
-    if two_sided:
-        return pairs.where(own_cell & (a_id != b_id) & (F.col("a.n_left") > 0) & (F.col("b.n_right") > 0))
     return pairs.where(own_cell & (a_id < b_id))
+
+
+def _across(rows: DataFrame, key: str) -> DataFrame:
+    """Left rows meet right rows only: cell (p, q) holds left block p and right block q.
+
+    Every pair has one cell, and a cell without rows of both sides gives nothing.
+    """
+    left = rows.where(F.col("n_left") > 0).select(
+        key, F.col("block").alias("p"), F.col("other").alias("q"), F.lit(True).alias("is_left"), "row"
+    )
+    right = rows.where(F.col("n_right") > 0).select(
+        key, F.col("other").alias("p"), F.col("block").alias("q"), F.lit(False).alias("is_left"), "row"
+    )
+    held = left.unionByName(right).groupBy(key, "p", "q").agg(
+        F.collect_list(F.when(F.col("is_left"), F.col("row"))).alias("lefts"),
+        F.collect_list(F.when(~F.col("is_left"), F.col("row"))).alias("rights"),
+    )
+    held = held.where((F.size("lefts") > 0) & (F.size("rights") > 0))
+    first = held.select(key, "p", "q", "rights", F.explode("lefts").alias("a"))
+    return first.select(key, "p", "q", "a", F.explode("rights").alias("b"))

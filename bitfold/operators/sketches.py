@@ -79,7 +79,10 @@ class BinSketch(SketchModel):
         return ranked.select("feature_id", (F.col("rank") % k).alias("bucket"))
 
     def mapping(self, sets: BinarySets, k: int) -> DataFrame:
-        bucketed = sets.items.join(self.bucket_map(sets.vocab, k), "feature_id")
+        """Raises while it runs when an item's feature has no bucket."""
+        found = sets.items.join(self.bucket_map(sets.vocab, k), "feature_id", "left")
+        missing = F.raise_error(F.concat(F.lit("no bucket for feature "), F.col("feature_id").cast("string"))).cast("bigint")
+        bucketed = found.withColumn("bucket", F.when(F.col("bucket").isNotNull(), F.col("bucket")).otherwise(missing))
         return _bit_sketch(sets.docs, bucketed, k, F.bit_or)
 
 

@@ -46,12 +46,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a CPU-heavy stage every slot when the scan alone yields fewer partitions.
+    """Give a CPU-heavy stage every slot when the input has fewer files than slots.
 
-    A large input already has more splits than slots and passes through untouched, so
-    nothing is shuffled at scale; a table in one small file is dealt out once.
+    Looks at the list of files only and runs nothing.  A large table has more files than slots
+    and passes through untouched; a table in a few files is dealt out once.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
+    if len(df.inputFiles()) >= slots:
         return df
     return df.repartition(slots)

@@ -12,17 +12,18 @@ from bitfold.operators.ranking import ordered_rank
 
 # fixed values: a gzip file starts with these bytes
 GZIP_MAGIC = (0x1F, 0x8B)
+MOST_BYTES = 2**31 - 1  # of one binary value
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """``(feature_id, term)`` of a UTF-8 file with one term per line; id = line number.
 
-    Line numbers come from the splits of the file: the rows before a split are counted, and
+    The lines of several files count on in the order of the paths.  Line numbers come from the splits of the file: the rows before a split are counted, and
     rows are numbered inside their split.
     """
     lines = spark.read.text(path).select(
-        F.trim("value").alias("term"),
-        F.col("_metadata.file_block_start").alias("block"),
+        F.regexp_replace("value", r"^\s+|\s+$", "").alias("term"),
+        F.struct("_metadata.file_path", "_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"),
     )
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -47,6 +48,14 @@ def _is_gzip(spark: SparkSession, path: str) -> bool:
         stream.close()
 
 
+def _check_one_value(spark: SparkSession, path: str) -> None:
+    """A file that has to be read as one value must fit into one."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(jvm_path).getLen()
+    if size >= MOST_BYTES:
+        raise ValueError(f"{path} is plain text named .gz and has {size} bytes; rename it, or cut it below {MOST_BYTES}")
+
+
 def read_docword_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(file, at, parts)``: the whitespace-separated fields of every line.
 
@@ -54,6 +63,7 @@ def read_docword_lines(spark: SparkSession, path: str) -> DataFrame:
     one binary value (up to 2 GB, like any unsplittable file in one task) and cut into lines.
     """
     if path.endswith(".gz") and not _is_gzip(spark, path):
+        _check_one_value(spark, path)
         text = F.decode("content", "ISO-8859-1")
         lines = spark.read.format("binaryFile").load(path).select(
             F.col("path").alias("file"), F.posexplode(F.split(text, "\n")).alias("at", "value")
@@ -66,11 +76,13 @@ def read_docword_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_header(lines: DataFrame) -> DataFrame:
-    """One row ``(n_docs, n_words, nnz)`` from the three single-number lines."""
+    """One row ``(n_docs, n_words, nnz)`` from the three single-number lines; fails without them."""
     single = lines.where((F.size("parts") == 1) & F.col("parts")[0].rlike("^[0-9]+$"))
     head = single.orderBy("file", "at").limit(3)
     ordered = F.sort_array(F.collect_list(F.struct("file", "at", F.col("parts")[0].cast("bigint").alias("v"))))
     values = head.agg(ordered.alias("h")).select(F.col("h.v").alias("v"))
+    missing = F.raise_error(F.lit("docword file without its three header lines")).cast("array<bigint>")
+    values = values.select(F.when(F.size("v") == 3, F.col("v")).otherwise(missing).alias("v"))
     return values.select(
         F.get("v", F.lit(0)).alias("n_docs"), F.get("v", F.lit(1)).alias("n_words"), F.get("v", F.lit(2)).alias("nnz")
     )
@@ -144,7 +156,9 @@ def read_text_folder(spark: SparkSession, folder: str) -> DataFrame:
         .load(folder)
     )
     texts = files.select("path", F.decode("content", "ISO-8859-1").alias("text"))
-    return ordered_rank(texts, "path", "doc_id").select("doc_id", "path", "text")
+    # only paths are sorted and numbered; the contents move once, to meet their numbers
+    ranks = ordered_rank(files.select("path"), "path", "doc_id")
+    return texts.join(ranks, "path").select("doc_id", "path", "text")
 
 
 def encode_text_folder(

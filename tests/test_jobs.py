@@ -5,6 +5,8 @@ import pytest
 
 from bitfold.operators.classes import collapse_copies
 from bitfold.operators.overlap import similar_pairs
+from bitfold.operators.pairs import filter_report
+from bitfold.operators.profile import pair_profile, pair_universe
 from bitfold.operators.sketches import get_model
 from bitfold.operators.split import train_query_split
 from bitfold.plans.accuracy import accuracy_grid, algorithm_accuracy
@@ -117,14 +119,35 @@ def test_saved_truth_is_reused(spark, make_sets, random_rows, tmp_path):
     sets = make_sets(random_rows(n=20), 150)
     path = str(tmp_path / "truth")
     first = accuracy_truth(sets, JACCARD, 0.3, path, "demo")
+    n = first.count()
+    wider = accuracy_truth(sets, JACCARD, 0.1, path, "demo").count()
+    assert wider > n > 0  # a truth searched down to 0.3 does not serve 0.1
+    assert accuracy_truth(sets, JACCARD, 0.3, path, "demo").count() == n  # a wider one is filtered
     nothing = make_sets({0: {1}}, 150)
-    assert accuracy_truth(nothing, JACCARD, 0.3, path, "demo").count() == first.count() > 0
-    assert accuracy_truth(nothing, "cosine_similarity", 0.3, path, "demo").count() == 0
+    assert accuracy_truth(nothing, JACCARD, 0.3, path, "demo").count() == 0  # another input is found anew
 
     pairs, split = retrieval_truth(sets, JACCARD, 0.3, str(tmp_path / "qt"), "demo")
     n = pairs.count()
+    assert retrieval_truth(sets, JACCARD, 0.1, str(tmp_path / "qt"), "demo")[0].count() > n
     again, _ = retrieval_truth(sets, JACCARD, 0.3, str(tmp_path / "qt"), "demo")
     assert again.count() == n
     other, other_split = retrieval_truth(sets, JACCARD, 0.3, str(tmp_path / "qt"), "demo", seed=7)
     expected = similar_pairs(collapse_copies(sets, other_split), JACCARD, 0.3, two_sided=True)
     assert other.count() == expected.count()  # a different split is recomputed
+
+
+def test_narrow_truth_is_refused(make_sets, random_rows):
+    sets = make_sets(random_rows(n=20), 150)
+    classes = collapse_copies(sets)
+    narrow = similar_pairs(classes, JACCARD, 0.8, "gt")
+    with pytest.raises(ValueError):
+        accuracy_grid(classes, ["BCS"], [0.1, 0.8], JACCARD, lengths=[50], truth=narrow)
+    split = collapse_copies(sets, train_query_split(sets.docs, 0.7, 42))
+    with pytest.raises(ValueError):
+        retrieval_grid(split, ["BCS"], [0.1, 0.8], JACCARD, lengths=[50], truth=similar_pairs(split, JACCARD, 0.8, two_sided=True))
+    universe = pair_universe(sets.docs.groupBy().count().withColumnRenamed("count", "n"))
+    with pytest.raises(ValueError):
+        pair_profile(narrow, universe)
+    with pytest.raises(ValueError):
+        filter_report(narrow, 0.2, "le", universe=190)
+    assert filter_report(narrow, 0.9, "ge", universe=190).first()["total_pairs"] == 190

@@ -119,3 +119,15 @@ def test_set_positions(spark):
     words = F.array(F.lit(5).cast("bigint"), F.lit(1 << 62).cast("bigint"))
     row = spark.range(1).select(bit_functions.set_positions(words, 126).alias("p")).first()
     assert list(row["p"]) == [0, 2, 125]
+
+
+def test_minhash_takes_ids_beyond_31_bits(make_sets):
+    big = {0: {2**33 + 5, 2**40 + 1, 7}, 1: {(2**33 + 5) % (2**31 - 1), (2**40 + 1) % (2**31 - 1), 7}}
+    sets = make_sets(big, 10)
+    signatures = {r["doc_id"]: list(r["sketch"]) for r in get_model("MinHash").mapping(sets, 16).collect()}
+    assert signatures[0] == signatures[1]
+
+
+def test_binsketch_refuses_features_without_bucket(make_sets):
+    with pytest.raises(Exception, match="no bucket"):
+        get_model("BinSketch").mapping(make_sets({0: {1, 99}}, 10), 5).collect()

@@ -115,3 +115,16 @@ def test_summary_and_preview(spark, make_sets):
     assert tuple(encode.dataset_summary(sets).first()) == (2, 4, 2, 1.0, 75.0)
     assert [tuple(r) for r in encode.preview(sets, 5, 4).collect()] == [(0, "0110"), (1, "0000")]
     assert cells(encode.head_sample(sets, 1).items) == [(0, 1), (0, 2)]
+
+
+def test_vocabulary_of_two_files_and_missing_header(spark, tmp_path):
+    folder = tmp_path / "vocab"
+    folder.mkdir()
+    (folder / "a.txt").write_text("one\n\ttwo \n")
+    (folder / "b.txt").write_text("three\nfour\n")
+    rows = sorted((r["feature_id"], r["term"]) for r in bagofwords.read_vocabulary(spark, str(folder)).collect())
+    assert rows == [(0, "one"), (1, "two"), (2, "three"), (3, "four")]
+    bare = tmp_path / "docword.bare.txt"
+    bare.write_text("1 1 1\n2 1 1\n")
+    with pytest.raises(Exception, match="header"):
+        bagofwords.load_bag_of_words(spark, str(bare)).docs.count()
