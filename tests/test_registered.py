@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registered
+from bitfold.catalog import oracle, queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "customer part orders lineitem documents".split()
@@ -22,7 +23,7 @@ def engine():
 
 
 def test_every_query_has_its_sql():
-    assert registered.queries().keys() == registered.oracle_sql().keys()
+    assert queries.queries().keys() == oracle.oracle_sql().keys()
 
 
 @pytest.mark.parametrize("name", SAMPLE)
