@@ -127,12 +127,18 @@ def labelled_windows(labelled: DataFrame, window: int, max_rows: int, per_row: i
     At most ``max_rows`` rows are taken, the same number for each language, and at most
     ``per_row`` windows of each.  Ids are chosen without touching the texts.
     """
-    known = labelled.where(F.col("lang").isNotNull()).select("doc_id", "lang")
-    n_langs = known.agg(F.count_distinct("lang")).first()[0]
-    each = max(1, max_rows // max(1, n_langs))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
-    # at most max_rows ids: bounded by the parameter
-    chosen = known.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each).select("doc_id", "lang")
+    known = labelled.where(F.col("lang").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id", F.lit(seed)).alias("_h"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("_rows"))
+    n_langs = counts.count()
+    if n_langs > max_rows:
+        raise ValueError(f"{n_langs} languages are more than max_rows = {max_rows}")
+    each = max_rows // max(1, n_langs)
+    # the lowest hashes hold the sample: of any table, about twice as many rows as wanted are sorted
+    share = F.lit(2.0 * each + 64) / F.col("_rows")
+    low = known.join(F.broadcast(counts), "lang").where(F.col("_h") / F.lit(2.0**64) + 0.5 < share)
+    order = Window.partitionBy("lang").orderBy("_h", "doc_id")
+    # counts and ids: at most max_rows of each
+    chosen = low.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each).select("doc_id", "lang")
     data = labelled.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", F.col("text").cast("binary").alias("data"))
     found = data.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
     room = F.greatest(F.octet_length("data") - F.lit(window), F.lit(0)) + 1
