@@ -71,10 +71,12 @@ def truth(spark: SparkSession, sf_dir: str, name: str, similarity: str, threshol
     )
 
 
-def split_truth(spark: SparkSession, sf_dir: str, name: str, similarity: str, threshold: float) -> DataFrame:
+def split_truth(
+    spark: SparkSession, sf_dir: str, name: str, similarity: str, threshold: float, comparison: str = "ge"
+) -> DataFrame:
     return once(
-        spark, sf_dir, f"split-truth-{name}-{similarity}-{threshold}",
+        spark, sf_dir, f"split-truth-{name}-{similarity}-{comparison}-{threshold}",
         lambda: materialize(
-            similar_pairs(split_classes(spark, sf_dir, name), similarity, threshold, "ge", two_sided=True), "truth"
+            similar_pairs(split_classes(spark, sf_dir, name), similarity, threshold, comparison, two_sided=True), "truth"
         ),
     )

@@ -10,7 +10,8 @@ import math
 
 from bitfold.catalog.datasets import SEED, TRAIN_RATIO
 from bitfold.catalog.queries import (
-    ERROR_CELLS, ERROR_THRESHOLDS, FIND_CELLS, FIND_THRESHOLDS, SIGN_CELLS, SIGN_THRESHOLDS,
+    ERROR_CELLS, ERROR_THRESHOLDS, FIND_CELLS, FIND_THRESHOLDS, GRID_CELLS, GRID_THRESHOLDS, SHARE,
+    SHARE_THRESHOLDS, SIGN_CELLS, SIGN_GRID_THRESHOLDS, SIGN_THRESHOLDS,
 )
 from bitfold.functions.hashing import MASK32, MIX_FACTOR, PRIME31, seed_constant
 from bitfold.functions.lanes import GAUSS_SCALE
@@ -276,6 +277,43 @@ SCORES = {
 }
 
 
+# every(sim): every pair of rows, those without a shared feature with 0
+ALL_ROWS = """
+every AS MATERIALIZED (SELECT coalesce(sim, 0)::DOUBLE AS sim FROM docs a JOIN docs b ON a.doc_id < b.doc_id
+    LEFT JOIN pair ON x = a.doc_id AND y = b.doc_id)"""
+ALL_QUERY_ROWS = """
+every AS MATERIALIZED (SELECT coalesce(sim, 0)::DOUBLE AS sim FROM side a JOIN side b ON a.side = 'query' AND b.side = 'train'
+    LEFT JOIN qt ON q = a.doc_id AND t = b.doc_id)"""
+
+
+def compared(threshold: float) -> dict[str, str]:
+    t = dbl(threshold)
+    return {
+        "ge": f"sim >= {t}", "gt": f"sim > {t}", "le": f"sim <= {t}", "lt": f"sim < {t}",
+        "eq": f"abs(sim - {t}) <= {dbl(1e-8)} + {dbl(1e-5)} * abs({t})",
+    }
+
+
+def _reports_over_all(threshold: float) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT {dbl(threshold)} AS threshold, '{c}' AS comparison, count(*) AS total_pairs, count_if({p})::BIGINT AS filtered_count,
+{r6(f'count_if({p}) * 100.0::DOUBLE / count(*)', 'percentage')} FROM every""" for c, p in compared(threshold).items()
+    )
+
+
+def _thresholds_over_all(per_query: bool) -> str:
+    steps = ", ".join(f"({dbl(t)})" for t in SHARE_THRESHOLDS)
+    n_query = "(SELECT count(*) FROM side WHERE side = 'query')"
+    mean = f", {r6(f'count_if(sim >= threshold)::DOUBLE / {n_query}', 'avg_neighbors')}" if per_query else ""
+    return f"""SELECT threshold, count_if(sim >= threshold)::BIGINT AS n_at_least,
+{r6('count_if(sim >= threshold) * 100.0::DOUBLE / count(*)', 'pct')}{mean}
+FROM every CROSS JOIN (VALUES {steps}) AS s(threshold) GROUP BY threshold"""
+
+
+PROFILE = f"""SELECT count(*) AS n_pairs, {r6('min(sim)', 'min_sim')}, {r6('max(sim)', 'max_sim')}, {r6('avg(sim)', 'mean_sim')},
+{r6('median(sim)', 'median_sim')}, {r6('stddev_pop(sim)', 'std_sim')} FROM every"""
+
+
 def _cells(body, cells, select: str) -> str:
     parts = [f"SELECT * FROM (WITH {body(a, k)} SELECT '{a}' AS algo, {k}::BIGINT AS k, {select})" for a, k in cells]
     return " UNION ALL ".join(parts)
@@ -289,6 +327,17 @@ def _retrieval_query(metric: str, similarity: str, thresholds, cells) -> str:
     return _cells(lambda a, k: _outcomes(a, k, similarity, thresholds), cells, select)
 
 
+def _retrieval_grid_query(similarity: str, thresholds, cells) -> str:
+    n_query = "(SELECT count(*) FROM side WHERE side = 'query')"
+    select = (
+        f"threshold, {r6(f'total_pairs::DOUBLE / {n_query}', 'avg_neighbors')}, "
+        f"total_pairs, {r6('m', 'metric')}, {r6('s', 'metric_std')} FROM (SELECT threshold, avg(score) AS m, stddev_pop(score) AS s "
+        f"FROM (SELECT threshold, ({SCORES['f1']})::DOUBLE AS score FROM outcome) GROUP BY threshold) "
+        "JOIN (SELECT threshold, count(sim) AS total_pairs FROM steps LEFT JOIN qt ON sim >= threshold GROUP BY threshold) USING (threshold)"
+    )
+    return _cells(lambda a, k: _outcomes(a, k, similarity, thresholds), cells, select)
+
+
 def _grid_body(similarity: str, lowest: float, thresholds):
     steps = ", ".join(f"({dbl(t)})" for t in thresholds)
 
@@ -369,6 +418,8 @@ FROM (SELECT *, {dbl(0.5)} AS t FROM cp)""" for c, p in compare.items()
     ratios = ", ".join(f"({dbl(r)})" for r in SUGGESTED_RATIOS)
     errors = _sampled_errors(50, 200)
     bought = f"WITH {CUSTOMERS}"
+    every = f"{bought}, {REPS}, {all_pairs('jaccard_similarity')}, {ALL_ROWS}"
+    bought_qt = f"{bought}, {query_train_pairs('jaccard_similarity')}"
     return {
         "vocab_min_df": f"WITH {DOCUMENTS} SELECT feature_id, term, df FROM vocab",
         "items_binary": f"WITH {DOCUMENTS} SELECT doc_id, feature_id FROM items",
@@ -450,6 +501,20 @@ SELECT ratio, {r6('ratio * max_sim', 'threshold')} FROM top CROSS JOIN ratios"""
             lambda a, k: _outcomes(a, k, "jaccard_similarity", FIND_THRESHOLDS), FIND_CELLS,
             "threshold, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM outcome GROUP BY threshold",
         ),
+        "query_train_inner_product": f"{bought}, {query_train_pairs('inner_product')} {_by_class('qt', 'sim', 3)}",
+        "filter_universe": f"{every} {_reports_over_all(SHARE)}",
+        "profile_universe": f"{every} {PROFILE}",
+        "threshold_report_universe": f"{every} {_thresholds_over_all(False)}",
+        "filter_retrieval_reports": f"{bought_qt}, {ALL_QUERY_ROWS} {_reports_over_all(SHARE)}",
+        "profile_queries": f"{bought_qt}, {ALL_QUERY_ROWS} {PROFILE}",
+        "threshold_report_queries": f"{bought_qt}, {ALL_QUERY_ROWS} {_thresholds_over_all(True)}",
+        **{
+            f"filter_retrieval_{c}": f"""{bought_qt} SELECT rq.rep AS query_id, rt.rep AS train_idx, {r6('sim', 'similarity')}, count(*) AS n_pairs
+FROM qt JOIN reps rq ON rq.doc_id = q JOIN reps rt ON rt.doc_id = t WHERE {p} GROUP BY rq.rep, rt.rep, sim"""
+            for c, p in compared(SHARE).items()
+        },
+        "retrieval_grid_jaccard": _retrieval_grid_query("jaccard_similarity", GRID_THRESHOLDS, GRID_CELLS),
+        "retrieval_grid_cosine": _retrieval_grid_query("cosine_similarity", SIGN_GRID_THRESHOLDS, [("SimHash", 128)]),
         "sampled_pair_errors": errors,
         "best_algorithm": f"""WITH r AS ({errors})
 SELECT * FROM (SELECT algorithm AS best_mse_algorithm, mse AS best_mse FROM r ORDER BY mse, algorithm, metric LIMIT 1)

@@ -23,13 +23,13 @@ from bitfold.operators.pairs import (
     exact_pairs, filter_by_threshold, filter_report, neighbor_counts, neighbors_by_threshold, sample_pairs,
 )
 from bitfold.operators.profile import (
-    max_sampled_similarity, pair_profile, suggested_thresholds, threshold_report,
+    max_sampled_similarity, pair_profile, pair_universe, suggested_thresholds, threshold_report,
 )
 from bitfold.operators.retrieve import attach_sketches, estimated_neighbors
 from bitfold.operators.sketches import get_model
 from bitfold.operators.split import same_split, train_query_split
 from bitfold.plans.accuracy import accuracy_grid, algorithm_accuracy
-from bitfold.plans.retrieval import query_outcomes, summarize
+from bitfold.plans.retrieval import query_outcomes, retrieval_grid, summarize
 from bitfold.plans.sampled import best_algorithms, sampled_errors
 from bitfold.plans.truth import retrieval_filter
 from bitfold.session import materialize, scratch_path
@@ -42,6 +42,12 @@ FIND_THRESHOLDS = [0.2, 0.5, 0.85]
 FIND_CELLS = (("BinSketch", 1000), ("BCS", 1000), ("MinHash", 64))
 SIGN_THRESHOLDS = [0.8, 0.9, 0.95]
 SIGN_CELLS = (("SimHash", 128),)
+COMPARISONS = ("ge", "gt", "le", "lt", "eq")
+SHARE = 0.025  # a Jaccard similarity that some pairs of customers have exactly
+SHARE_THRESHOLDS = [0.01, 0.025, 0.05, 0.2]
+GRID_THRESHOLDS = [0.5, 0.85, 1.5]  # nothing reaches the last
+SIGN_GRID_THRESHOLDS = [0.8, 0.9, 1.5]
+GRID_CELLS = (("BinSketch", 500), ("BCS", 500), ("MinHash", 64))
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -222,6 +228,11 @@ def query_train_exact(spark, sf):
     return rounded(pairs.select("i", "j", "n_pairs", "sim"))
 
 
+def query_train_inner_product(spark, sf):
+    pairs = split_truth(spark, sf, "customers", INNER, 3)
+    return rounded(pairs.select("i", "j", "n_pairs", "sim"))
+
+
 # ---- retrieval from sketches ----
 
 
@@ -258,7 +269,7 @@ query_train_simhash = _found_query("query_train_simhash", "SimHash", COSINE, 0.8
 def filter_reports(spark, sf):
     pairs = truth(spark, sf, "documents", JACCARD, 0.1)
     return rounded(reduce(
-        DataFrame.unionByName, [filter_report(pairs, 0.5, c) for c in ("ge", "gt", "le", "lt", "eq")]
+        DataFrame.unionByName, [filter_report(pairs, 0.5, c) for c in COMPARISONS]
     ))
 
 
@@ -272,6 +283,59 @@ def filter_retrieval(spark, sf):
     return rounded(retrieval_filter(pairs, 0.5))
 
 
+def _all_customer_pairs(spark, sf):
+    """Pairs of customers that share a part, and the number of all pairs."""
+    n_rows = customer_sets(spark, sf).docs.agg(F.count("*").alias("n"))
+    return truth(spark, sf, "customers", JACCARD, 0.0), pair_universe(n_rows)
+
+
+def _all_query_train_pairs(spark, sf):
+    sizes = split_classes(spark, sf, "customers").classes.agg((F.sum("n_left") * F.sum("n_right")).alias("n_pairs"))
+    return split_truth(spark, sf, "customers", JACCARD, 0.0, "gt"), sizes
+
+
+def _universe_reports(pairs, universe):
+    return rounded(reduce(DataFrame.unionByName, [filter_report(pairs, SHARE, c, universe) for c in COMPARISONS]))
+
+
+def filter_universe(spark, sf):
+    return _universe_reports(*_all_customer_pairs(spark, sf))
+
+
+def filter_retrieval_reports(spark, sf):
+    return _universe_reports(*_all_query_train_pairs(spark, sf))
+
+
+def _retrieval_filter_query(comparison):
+    def query(spark, sf):
+        return rounded(retrieval_filter(_all_query_train_pairs(spark, sf)[0], SHARE, comparison))
+
+    query.__name__ = f"filter_retrieval_{comparison}"
+    return query
+
+
+filter_retrieval_by = tuple(_retrieval_filter_query(c) for c in COMPARISONS)
+
+
+def profile_universe(spark, sf):
+    return rounded(pair_profile(*_all_customer_pairs(spark, sf)))
+
+
+def threshold_report_universe(spark, sf):
+    pairs, universe = _all_customer_pairs(spark, sf)
+    return rounded(threshold_report(pairs, SHARE_THRESHOLDS, universe))
+
+
+def threshold_report_queries(spark, sf):
+    pairs, universe = _all_query_train_pairs(spark, sf)
+    n_query = split_classes(spark, sf, "customers").classes.agg(F.sum("n_left"))
+    return rounded(threshold_report(pairs, SHARE_THRESHOLDS, universe, n_query))
+
+
+def profile_queries(spark, sf):
+    return rounded(pair_profile(*_all_query_train_pairs(spark, sf)))
+
+
 def neighbors_grid(spark, sf):
     pairs = split_truth(spark, sf, "documents", JACCARD, min(FIND_THRESHOLDS)).select("i", "j", "n_pairs", "sim")
     return rounded(neighbors_by_threshold(pairs, FIND_THRESHOLDS))
@@ -357,6 +421,17 @@ retrieval_accuracy = _retrieval("retrieval_accuracy", "accuracy")
 retrieval_f1_cosine = _retrieval("retrieval_f1_cosine", "f1", COSINE, SIGN_THRESHOLDS, SIGN_CELLS)
 
 
+def retrieval_grid_jaccard(spark, sf):
+    sets, pairs = split_classes(spark, sf, "documents"), split_truth(spark, sf, "documents", JACCARD, min(GRID_THRESHOLDS))
+    cells = [retrieval_grid(sets, [a], GRID_THRESHOLDS, JACCARD, "f1", [k], SEED, pairs) for a, k in GRID_CELLS]
+    return rounded(reduce(DataFrame.unionByName, cells))
+
+
+def retrieval_grid_cosine(spark, sf):
+    sets = split_classes(spark, sf, "documents")
+    return rounded(retrieval_grid(sets, ["SimHash"], SIGN_GRID_THRESHOLDS, COSINE, "f1", [128], SEED))
+
+
 def retrieval_counts(spark, sf):
     outcomes = _outcomes(spark, sf, JACCARD, FIND_THRESHOLDS, FIND_CELLS)
     return outcomes.groupBy("algo", "k", "threshold").agg(
@@ -391,6 +466,9 @@ REGISTERED = (
     truth_thresholds, max_similarity_sampled, thresholds_suggested, exp1_error_grid, exp1_minus_log_mse,
     algorithm_errors, retrieval_precision, retrieval_recall, retrieval_f1, retrieval_accuracy,
     retrieval_f1_cosine, retrieval_counts, sampled_pair_errors, best_algorithm,
+    query_train_inner_product, filter_universe, filter_retrieval_reports, *filter_retrieval_by,
+    profile_universe, profile_queries, threshold_report_universe, threshold_report_queries,
+    retrieval_grid_jaccard, retrieval_grid_cosine,
 )
 
 

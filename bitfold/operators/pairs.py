@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitfold.functions.hashing import hash32
@@ -74,11 +74,18 @@ def unlisted_matter(truth: DataFrame, threshold: float, comparison: str) -> bool
     return not covers(truth, 0.0, "gt")
 
 
-def filter_report(truth: DataFrame, threshold: float, comparison: str = "ge", universe: int | None = None) -> DataFrame:
+def one_number(given: int | DataFrame) -> Column:
+    """A number, or the only value of a one-row table, as a BIGINT column."""
+    return (given.scalar() if isinstance(given, DataFrame) else F.lit(int(given))).cast("bigint")
+
+
+def filter_report(
+    truth: DataFrame, threshold: float, comparison: str = "ge", universe: int | DataFrame | None = None
+) -> DataFrame:
     """One row: how many pairs there were and how many the filter keeps.
 
-    ``truth`` may carry ``n_pairs`` weights.  ``universe`` is the number of pairs when
-    ``truth`` leaves out those of similarity 0.
+    ``truth`` may carry ``n_pairs`` weights.  ``universe`` is the number of pairs, or a one-row
+    table that holds it, when ``truth`` leaves out those of similarity 0.
     """
     if universe is not None and unlisted_matter(truth, threshold, comparison):
         raise ValueError("the pairs a truth leaves out can be told from its count only if it was searched far enough")
@@ -86,9 +93,10 @@ def filter_report(truth: DataFrame, threshold: float, comparison: str = "ge", un
     zero = F.lit(0).cast("bigint")
     held = F.coalesce(F.sum(weight), zero)
     kept = F.coalesce(F.sum(F.when(compare(F.col("sim"), threshold, comparison), weight)), zero)
-    total = held if universe is None else F.lit(int(universe)).cast("bigint")
-    unseen = F.when(compare(F.lit(0.0), threshold, comparison), total - held).otherwise(zero)
-    counts = truth.agg(total.alias("total_pairs"), (kept + unseen).alias("filtered_count"))
+    listed = truth.agg(held.alias("held"), kept.alias("kept"))
+    counted = listed.withColumn("total_pairs", F.col("held") if universe is None else one_number(universe))
+    unseen = F.when(compare(F.lit(0.0), threshold, comparison), F.col("total_pairs") - F.col("held")).otherwise(zero)
+    counts = counted.select("total_pairs", (F.col("kept") + unseen).alias("filtered_count"))
     share = F.try_divide(F.col("filtered_count").cast("double"), F.col("total_pairs").cast("double"))
     return counts.select(
         F.lit(float(threshold)).alias("threshold"), F.lit(comparison).alias("comparison"), "*",
