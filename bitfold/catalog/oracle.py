@@ -38,6 +38,10 @@ def h32(column: str, seed: int, purpose: str) -> str:
     return mix(f"xor({low}, {seed_constant(seed, purpose)}::BIGINT)")
 
 
+def h63(column: str, seed: int, purpose: str) -> str:
+    return f"({h32(column, seed, purpose)} * {1 << 31} + ({h32(column, seed, purpose + '-low')} >> 1))"
+
+
 STOP = ", ".join(f"'{w}'" for w in ENGLISH_STOP_WORDS)
 
 DOCUMENTS = f"""
@@ -357,8 +361,8 @@ def _minus_log(e: str) -> str:
 
 def sampled(n: int, replacement: bool) -> str:
     """draws(pair_id, i, j)."""
-    first = f"{h32('pair_id', SEED, 'pair-first')} % n"
-    second = h32("pair_id", SEED, "pair-second")
+    first = f"{h63('pair_id', SEED, 'pair-first')} % n"
+    second = h63("pair_id", SEED, "pair-second")
     rj = f"{second} % n" if replacement else f"(({first}) + 1 + {second} % (n - 1)) % n"
     keep = "TRUE" if replacement else "pair_id < n * (n - 1) // 2"
     return f"""

@@ -40,6 +40,12 @@ def hash32(key: Column, seed: int, purpose: str) -> Column:
     return mix32(low.bitwiseXOR(F.lit(seed_constant(seed, purpose)).cast("bigint")))
 
 
+def hash63(key: Column, seed: int, purpose: str) -> Column:
+    """Seeded hash of a non-negative BIGINT into [0, 2^63): draws from tables of any size."""
+    low = F.shiftright(hash32(key, seed, f"{purpose}-low"), 1)
+    return hash32(key, seed, purpose) * F.lit(1 << 31) + low
+
+
 def long_array(values) -> Column:
     """An ARRAY<BIGINT> literal; Catalyst folds it to one constant."""
     return F.array(*[F.lit(int(v)).cast("bigint") for v in values])

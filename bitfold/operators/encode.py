@@ -15,7 +15,7 @@ from bitfold.session import materialize, spread
 # fixed value: a token is a maximal run of two or more letters, digits or underscores
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
-# fixed value: default English function words (pass your own list for another one)
+# a short list of English function words of our own (pass another with stop_words=)
 ENGLISH_STOP_WORDS = tuple(
     """
     about above after again against all am an and any are as at be because been before
@@ -104,8 +104,11 @@ def encode_text(
     stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
     min_df: int = 2,
 ) -> BinarySets:
-    """Binary document-term sets with alphabetic 0-based feature ids."""
-    doc_terms = tokens(documents, id_col, text_col, stop_words)
+    """Binary document-term sets with alphabetic 0-based feature ids.
+
+    The distinct terms of each document are written once, so texts are read and cut only once.
+    """
+    doc_terms = materialize(tokens(documents, id_col, text_col, stop_words), "terms")
     vocab = ordered_rank(document_frequency(doc_terms, min_df), "term", "feature_id")
     vocab = vocab.select("feature_id", "term", "df")
     items = doc_terms.join(vocab.select("term", "feature_id"), "term").select("doc_id", "feature_id")
@@ -157,9 +160,9 @@ def chunk_count(largest_set: int) -> int:
 
 
 def set_arrays(items: DataFrame, value: Column | None = None) -> DataFrame:
-    """``(doc_id, chunk, features)``: the rows as arrays of bounded length.
+    """``(doc_id, chunk, several, features)``: the rows as arrays of bounded length.
 
-    A row above ``MAX_CHUNK`` items spreads over several chunks by feature, so no single
+    ``several`` says that the row may have further chunks.  A row above ``MAX_CHUNK`` items spreads over several chunks by feature, so no single
     group is collected whole.  Row sizes come from a map-side combined count; the table of
     oversized rows is joined back, and Spark broadcasts it only when it is small.
     """
@@ -173,13 +176,14 @@ def set_arrays(items: DataFrame, value: Column | None = None) -> DataFrame:
     chunked = items.join(oversized, "doc_id", "left").select(
         "doc_id",
         (hash32(F.col("feature_id"), 0, "chunk") % F.coalesce("n_chunks", F.lit(1))).alias("chunk"),
+        F.col("n_chunks").isNotNull().alias("several"),
         value.alias("value"),
     )
     # the arrays feed k hash evaluations per item: keep one partition per configured slot,
     # however few bytes they are
     slots = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunked = chunked.repartition(slots, "doc_id", "chunk")
-    return chunked.groupBy("doc_id", "chunk").agg(F.collect_list("value").alias("features"))
+    return chunked.groupBy("doc_id", "chunk").agg(F.bool_or("several").alias("several"), F.collect_list("value").alias("features"))
 
 
 def aligned_set_arrays(items: DataFrame, n_chunks: int) -> DataFrame:

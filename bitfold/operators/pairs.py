@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitfold.functions.hashing import hash32
+from bitfold.functions.hashing import hash63
 from bitfold.functions.similarity import compare, exact_similarity
 from bitfold.operators.encode import BinarySets
 from bitfold.operators.overlap import covers
@@ -24,12 +24,12 @@ def sample_pairs(
     n = F.col("n_total")
     size = docs.agg(F.count("*").alias("n_total")).scalar()
     draws = docs.sparkSession.range(n_pairs).select(F.col("id").alias("pair_id"), size.alias("n_total"))
-    first = hash32(F.col("pair_id"), seed, "pair-first") % n
+    first = hash63(F.col("pair_id"), seed, "pair-first") % n
     if with_replacement:
-        second = hash32(F.col("pair_id"), seed, "pair-second") % n
+        second = hash63(F.col("pair_id"), seed, "pair-second") % n
     else:
         draws = draws.where((n > 1) & (F.col("pair_id") < F.floor(n * (n - 1) / 2)))
-        second = (first + 1 + hash32(F.col("pair_id"), seed, "pair-second") % (n - 1)) % n
+        second = (first + 1 + hash63(F.col("pair_id"), seed, "pair-second") % (n - 1)) % n
     draws = draws.select("pair_id", first.alias("ri"), second.alias("rj"))
     of_i = ranked.select(F.col("rank").alias("ri"), F.col("doc_id").alias("i"))
     of_j = ranked.select(F.col("rank").alias("rj"), F.col("doc_id").alias("j"))

@@ -103,16 +103,20 @@ class BinaryCompressionSchema(SketchModel):
 
 
 def _merge_parts(docs: DataFrame, parts: DataFrame, k: int, merge) -> DataFrame:
-    """Combine the partial lane arrays of each row; rows without items get k zeros."""
-    rows = _with_empty_rows(docs, parts, "part", "array<bigint>")
-    gathered = rows.groupBy("doc_id").agg(F.collect_list("part").alias("parts"))
+    """Combine the partial lane arrays of each row; rows without items get k zeros.
+
+    ``parts(doc_id, several, part)``.  Rows in several parts are merged lane by lane with map-side
+    combining, so no task gathers all parts of a huge row; the others have one part and keep it.
+    """
+    lanes = parts.where("several").select("doc_id", F.posexplode("part").alias("lane", "value"))
+    merged = lanes.groupBy("doc_id", "lane").agg(merge("value").alias("value"))
+    in_order = F.array_sort(F.collect_list(F.struct("lane", "value")))
+    whole = merged.groupBy("doc_id").agg(F.transform(in_order, lambda x: x["value"]).alias("part"))
+    each = parts.where(~F.col("several")).select("doc_id", "part").unionByName(whole)
+    rows = _with_empty_rows(docs, each, "part", "array<bigint>")
     zeros = F.array_repeat(F.lit(0).cast("bigint"), k)
-    parts = F.col("parts")
-    several = F.reduce(
-        F.slice(parts, 2, F.size(parts)), parts[0], lambda acc, p: F.zip_with(acc, p, merge)
-    )
-    lanes = F.when(F.size(parts) == 0, zeros).when(F.size(parts) == 1, parts[0]).otherwise(several)
-    return gathered.select("doc_id", lanes.alias("lanes"))
+    # one array or none besides the row of docs
+    return rows.groupBy("doc_id").agg(F.coalesce(F.max("part"), zeros).alias("lanes"))
 
 
 class MinHash(SketchModel):
@@ -125,8 +129,8 @@ class MinHash(SketchModel):
 
     def mapping(self, sets: BinarySets, k: int) -> DataFrame:
         minima = lane_minima_udf(self.coefficients(k))
-        parts = set_arrays(sets.items).select("doc_id", minima("features").alias("part"))
-        lanes = _merge_parts(sets.docs, parts, k, lambda x, y: F.least(x, y))
+        parts = set_arrays(sets.items).select("doc_id", "several", minima("features").alias("part"))
+        lanes = _merge_parts(sets.docs, parts, k, F.min)
         return lanes.select(
             "doc_id", F.col("lanes").alias("sketch"), F.lit(None).cast("bigint").alias("card")
         )
@@ -152,8 +156,8 @@ class SimHash(SketchModel):
     def mapping(self, sets: BinarySets, k: int) -> DataFrame:
         sums = gaussian_sums_udf(self.coefficients(k), k)
         hashed = set_arrays(sets.items, self.feature_hash(F.col("feature_id")))
-        parts = hashed.select("doc_id", sums("features").alias("part"))
-        lanes = _merge_parts(sets.docs, parts, k, lambda x, y: x + y)
+        parts = hashed.select("doc_id", "several", sums("features").alias("part"))
+        lanes = _merge_parts(sets.docs, parts, k, F.sum)
         signed = lanes.select("doc_id", pack_signs_udf("lanes").alias("sketch"))
         return signed.select("doc_id", "sketch", cardinality(F.col("sketch"), k).alias("card"))
 

@@ -6,13 +6,13 @@ import pytest
 from bitfold.operators.classes import collapse_copies
 from bitfold.operators.overlap import similar_pairs
 from bitfold.operators.pairs import filter_report
-from bitfold.operators.profile import pair_profile, pair_universe
+from bitfold.operators.profile import pair_profile, pair_universe, threshold_report
 from bitfold.operators.sketches import get_model
 from bitfold.operators.split import train_query_split
 from bitfold.plans.accuracy import accuracy_grid, algorithm_accuracy
 from bitfold.plans.retrieval import retrieval_grid
 from bitfold.plans.sampled import best_algorithms, sampled_errors
-from bitfold.plans.truth import accuracy_truth, retrieval_truth
+from bitfold.plans.truth import accuracy_truth, retrieval_filter, retrieval_truth
 from tests.brute import estimate, similarity
 
 JACCARD = "jaccard_similarity"
@@ -151,3 +151,33 @@ def test_narrow_truth_is_refused(make_sets, random_rows):
     with pytest.raises(ValueError):
         filter_report(narrow, 0.2, "le", universe=190)
     assert filter_report(narrow, 0.9, "ge", universe=190).first()["total_pairs"] == 190
+
+
+def test_filters_and_reports_over_all_pairs(make_sets, random_rows):
+    rows = random_rows(n=20)
+    sets = make_sets(rows, 150)
+    ids = sorted(rows)
+    every = [similarity(JACCARD, rows[x], rows[y]) for n, x in enumerate(ids) for y in ids[n + 1:]]
+    pairs = similar_pairs(collapse_copies(sets), JACCARD, 0.0, "gt")
+    universe = pair_universe(sets.docs.groupBy().count().withColumnRenamed("count", "n"))
+    t = sorted(every)[len(every) // 2] or 0.1
+    wanted = {"ge": lambda s: s >= t, "gt": lambda s: s > t, "le": lambda s: s <= t, "lt": lambda s: s < t}
+    for comparison, test in wanted.items():
+        got = filter_report(pairs, t, comparison, universe).first()
+        assert (got["total_pairs"], got["filtered_count"]) == (len(every), sum(map(test, every)))
+    report = {r["threshold"]: r["n_at_least"] for r in threshold_report(pairs, [0.2, 0.6], universe).collect()}
+    assert report == {v: sum(s >= v for s in every) for v in (0.2, 0.6)}
+    profile = pair_profile(pairs, universe).first()
+    assert profile["mean_sim"] == pytest.approx(statistics.mean(every))
+    assert profile["std_sim"] == pytest.approx(statistics.pstdev(every), rel=1e-9)
+    narrow = similar_pairs(collapse_copies(sets), JACCARD, 0.5, "gt")
+    for refused in (lambda: threshold_report(narrow, [0.2], universe), lambda: retrieval_filter(narrow, 0.7, "le"),
+                    lambda: retrieval_filter(narrow, 0.5, "ge")):
+        with pytest.raises(ValueError):
+            refused()
+
+
+def test_spread_of_nearly_equal_values_keeps_its_digits(spark):
+    values = [0.5 + k * 1e-9 for k in range(5)]
+    got = pair_profile(spark.createDataFrame([(v, 3) for v in values], "sim double, n_pairs bigint")).first()
+    assert got["std_sim"] == pytest.approx(statistics.pstdev(values), rel=1e-6)

@@ -128,3 +128,22 @@ def test_vocabulary_of_two_files_and_missing_header(spark, tmp_path):
     bare.write_text("1 1 1\n2 1 1\n")
     with pytest.raises(Exception, match="header"):
         bagofwords.load_bag_of_words(spark, str(bare)).docs.count()
+
+
+def test_bucket_map_and_filtered_truth_are_saved(spark, make_sets, tmp_path):
+    from bitfold.operators.pairs import filter_report
+    from bitfold.operators.sketches import get_model
+    from bitfold.sources.tables import save_bucket_map, save_filtered_truth
+
+    sets = make_sets({0: {1, 2}, 1: {3}}, 5)
+    save_bucket_map(get_model("BinSketch").bucket_map(sets.vocab, 3), str(tmp_path / "map"))
+    saved = spark.read.parquet(str(tmp_path / "map"))
+    own = get_model("BinSketch").mapping(sets, 3).collect()
+    assert sorted(map(tuple, saved.collect())) == sorted(map(tuple, get_model("BinSketch").bucket_map(sets.vocab, 3).collect()))
+    again = type(get_model("BinSketch"))(bucket_map=saved).mapping(sets, 3).collect()
+    assert sorted(map(str, again)) == sorted(map(str, own))
+
+    pairs = spark.createDataFrame([(0, 1, 0.4), (0, 2, 0.9)], "i bigint, j bigint, sim double")
+    save_filtered_truth(pairs.where("sim >= 0.5"), filter_report(pairs, 0.5), str(tmp_path / "kept"))
+    assert [(r["i"], r["j"], r["sim"]) for r in spark.read.json(str(tmp_path / "kept/pairs")).collect()] == [(0, 2, 0.9)]
+    assert spark.read.json(str(tmp_path / "kept/report")).first()["filtered_count"] == 1
