@@ -159,6 +159,21 @@ def test_url_trees_learn(spark):
     assert urls.fit(labelled.where("label = 0")) is None
 
 
+def test_url_statistics_cover_all_labelled_pages(spark):
+    rows = [(f"http://h{i % 400}.good{i % 40}.org/p/{i}", 0) for i in range(1900)] + [(f"http://b{i}.bad{i % 7}.net/x/{i}", 1) for i in range(100)]
+    frame = spark.createDataFrame(rows + rows[:50], "url string, label int")
+    model = urls.fit(frame, max_rows=50)
+    assert model.rates.overall == 0.05 and abs(model.trees.base - np.log(100 / 1900)) < 1e-9
+    counts = {r["suffix"]: (sum(r["bad"]), sum(r["seen"])) for r in model.rates.counts.collect()}
+    assert counts["org"] == (0, 1900) and counts["net"] == (100, 100) and counts["h3.good3.org"][1] in (4, 5)
+    assert len(counts) == 2 + 40 + 7 + 400 + 100
+    pages = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(rows[::9])] + [(9999, None)], "page_id bigint, url string")
+    judged = {r["url"]: r["block_score"] for r in urls.judge(pages, model, rules=()).collect()}
+    assert np.allclose(model.score(list(judged)), list(judged.values())) and len(judged) == len(rows[::9]) + 1
+    clean = [f"http://www.new{i}.info/p/{i}" for i in range(50)]
+    assert (model.score(clean) < 0.5).all()
+
+
 # --- mixing
 
 
