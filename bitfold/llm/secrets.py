@@ -2,8 +2,8 @@
 
 Patterns find candidate credentials in each text.  The value of every candidate is hashed, and
 over the whole corpus each hash is counted by distinct repositories and owners: a value that
-many owners have is an example copied around, one that a single owner has looks live.  Texts
-are scanned once; only spans and hashes are written, shuffled and joined.
+many owners or many repositories have is an example copied around, one that few of both have looks
+live.  Texts are scanned once; only spans and hashes are written, shuffled and joined.
 
 Everything is DataFrame expressions.  Positions are code points, end exclusive: text between
 matches comes from ``split`` and the matches from ``regexp_extract_all`` with the same pattern, so
@@ -87,20 +87,21 @@ def looks_live(value: Column) -> Column:
 
 
 def report(
-    documents: DataFrame, repository: str = "doc_id", owner: str = "source", text: str = "text", most_owners: int = 2
+    documents: DataFrame, repository: str = "doc_id", owner: str = "source", text: str = "text", most_owners: int = 2,
+    most_repositories: int = 20,
 ) -> DataFrame:
     """``documents`` without the text, with ``RESULTS``.
 
-    A value that more than ``most_owners`` owners have is an example (``n_example`` counts those of
-    the base spans, which stay); an unassigned opaque value with fewer owners that looks live
-    becomes an ``owned`` span.
+    A value that more than ``most_owners`` owners or more than ``most_repositories`` repositories have
+    is an example (``n_example`` counts those of the base spans, which stay); any other unassigned
+    opaque value that looks live becomes an ``owned`` span.
     """
     spans = scan(documents, text)
     every = spans.select("_row", F.col(f"`{repository}`").alias("repository"), F.col(f"`{owner}`").alias("owner"),
                          F.explode(F.concat("_base", "_opaque")).alias("span"))
     every = every.withColumn("hash", F.sha2(F.col("span.value").cast("binary"), 256))
     counts = ownership(every)
-    common = F.col("n_owners") > most_owners
+    common = (F.col("n_owners") > most_owners) | (F.col("n_repositories") > most_repositories)
     judged = every.join(counts.hint("merge"), "hash").select(
         "_row", "span", common.alias("common"), (F.col("span.kind") == len(BASE)).alias("opaque")
     )

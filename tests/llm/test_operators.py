@@ -106,6 +106,14 @@ def test_secret_ownership_separates_examples(spark):
     assert spans[9] == "owned:2:22,assign:23:36"
 
 
+def test_secret_copied_inside_one_source_is_an_example(spark):
+    pasted, live = "x7Qk2Lm9Pv4Rt8Wz1Ys5", "y8Qk2Lm9Pv4Rt8Wz1Ys6"
+    rows = [(i, "s1", f"see {pasted} or token=abcdef1") for i in range(30)] + [(90 + i, "s1", f"see {live}") for i in range(3)]
+    out = {r["doc_id"]: r for r in secrets.report(spark.createDataFrame(rows, "doc_id bigint, source string, text string")).collect()}
+    assert all((out[i]["n_owned"], out[i]["n_example"]) == (0, 1) for i in range(30))
+    assert all((out[90 + i]["n_owned"], out[90 + i]["n_example"]) == (1, 0) for i in range(3))
+
+
 # --- exact dedup
 
 
