@@ -30,7 +30,7 @@ BASE = {
 # runs shorter than asked for can be passed over inside the pattern where a match is always a whole run
 WHOLE_RUNS = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"(?<![0-9a-f])[0-9a-f]{24,}"}
 OWNED = "owned"  # spans the ownership counts add
-OPAQUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])(?=[0-9+/_-]{0,64}[A-Za-z])[A-Za-z0-9+/_-]{20,}"
+OPAQUE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"  # whole runs; those without a letter or a digit are dropped
 KINDS = (*BASE, OWNED)
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 RESULTS = ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_owned", "n_example")
@@ -62,7 +62,8 @@ def scan(documents: DataFrame, text: str = "text") -> DataFrame:
     others = [F.col(f"`{c}`") for c in documents.columns if c != text and c not in RESULTS]
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     base = [found(whole, WHOLE_RUNS.get(k, p), i, g, n).alias(f"_{k}") for i, (k, (p, g, n)) in enumerate(BASE.items())]
-    opaque = found(whole, OPAQUE, len(BASE), 0, 20).alias("_opaque")
+    both = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")
+    opaque = F.filter(found(whole, OPAQUE, len(BASE), 0, 20), both).alias("_opaque")
     spans = documents.select(*others, *base, opaque)
     joined = spans.withColumn("_base", F.sort_array(F.concat(*[f"_{k}" for k in BASE])))
     apart = F.filter("_opaque", lambda o: ~F.exists("_base", lambda b: (b["start"] < o["end"]) & (o["start"] < b["end"])))

@@ -114,6 +114,14 @@ def test_secret_copied_inside_one_source_is_an_example(spark):
     assert all((out[90 + i]["n_owned"], out[90 + i]["n_example"]) == (1, 0) for i in range(3))
 
 
+def test_secret_with_a_late_digit_or_letter(spark):
+    late = ["abcdefghijklmnop" * 6 + "7", "0123456789" * 9 + "abcdefg"]
+    rows = [(k, f"o{k}", f"see {v} here") for k, v in enumerate([*late, "abcdefghijklmnop" * 6, "0123456789+/_-" * 9])]
+    out = {r["doc_id"]: r["spans"] for r in secrets.report(spark.createDataFrame(rows, "doc_id bigint, source string, text string")).collect()}
+    assert all(f"owned:4:{4 + len(late[k])}" in out[k] for k in (0,)) and "owned" not in out[2] and "owned" not in out[3]
+    assert "hex" in out[1] and "owned" not in out[1]
+
+
 # --- exact dedup
 
 
