@@ -5,14 +5,16 @@ should have received w * t blocks after t slots; its j-th block is released at f
 ceil((j + 1) / w), and in every slot the released block with the earliest deadline runs.  A source is
 then never a whole block away from its share.
 
-Weights are whole shares of a period of ``slots`` slots.  A period ends with every source exactly at
-its share, so periods are scheduled independently, in parallel; each is one bounded row.  When
-a source has no blocks left, the others share its slots in proportion, so every document is placed
-once and none is dropped or repeated.
+When a source has no blocks left, the others share its slots in proportion: in the fluid schedule
+all sources fill at rates in proportion to their weights until they are empty, and releases and
+deadlines are the times, rounded outwards, at which the fluid schedule begins and ends a block.  Every document is
+placed once and none is dropped or repeated.  Weights are never rounded: times are whole numbers
+calculated exactly from the weights as given.  Sources of weight 0 follow after all others.
 
-Everything is DataFrame expressions.  Documents are numbered inside hash bins of their source, so
-one source with most of the rows fills no single task.  Only one row per source reaches the
-driver: sources are the keys of the weight table, at most ``slots`` of them.
+Documents are numbered inside hash bins of their source, so one source with most of the rows fills no
+single task; this and the placing are DataFrame expressions.  The driver holds one entry per source
+and runs earliest deadline first over the blocks, not the documents; the slots are written in parts
+of bounded size.
 
 Defined results: a null source is a source of its own.  Rows are numbered by (hash of doc_id, doc_id,
 hash of the other columns); rows that agree in all of these are placed next to each other.  Other columns stay;
@@ -21,40 +23,37 @@ columns named like the results are replaced.  An empty table gives an empty sche
 
 from __future__ import annotations
 
+import heapq
 import math
+from bisect import bisect_left
+from collections.abc import Iterator
+from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from bitfold.session import materialize
 
-SLOTS = 240
 BLOCK_ROWS = 32
 BIN_ROWS = 10_000
+PART_SLOTS = 200_000
 RESULTS = ("source_rank", "block", "release", "deadline", "slot")
 
 
-def shares(counts: dict, weights: dict | None, slots: int) -> dict:
-    """Whole shares of ``slots``, at least 1 each, by largest remainder.
+def shares(counts: dict, weights: dict | None, slots: int | None = None) -> dict:
+    """Exact shares of ``slots`` (of 1 if not given).
 
     Without ``weights`` a source weighs the square root of its rows, which lifts small sources.
+    A given ``slots`` that is smaller than the number of sources is refused.
     """
-    if len(counts) > slots:
+    if slots is not None and len(counts) > slots:
         raise ValueError(f"{len(counts)} sources do not fit into {slots} slots; raise slots")
-    raw = {s: float(weights.get(s, 0.0)) if weights else math.sqrt(n) for s, n in counts.items()}
+    raw = {s: Fraction(float(weights.get(s, 0.0)) if weights else math.sqrt(n)) for s, n in counts.items()}
     if any(w < 0 for w in raw.values()):
         raise ValueError("weights must not be negative")
-    total = sum(raw.values()) or 1.0
-    exact = {s: w / total * slots for s, w in raw.items()}
-    out = {s: max(1, math.floor(x)) for s, x in exact.items()}
-    # the key makes ties and the null source definite
-    order = sorted(out, key=lambda s: (out[s] - exact[s], s is None, str(s)))
-    spare = slots - sum(out.values())
-    for k in range(max(0, spare)):
-        out[order[k % len(order)]] += 1
-    for _ in range(max(0, -spare)):
-        out[max(out, key=lambda s: (out[s], str(s)))] -= 1
-    return out
+    total = sum(raw.values())
+    return {s: w / total * (slots or 1) if total else Fraction(slots or 1, len(raw)) for s, w in raw.items()}
 
 
 def ranked(documents: DataFrame, n_rows: int, bin_rows: int) -> DataFrame:
@@ -80,82 +79,94 @@ def ranked(documents: DataFrame, n_rows: int, bin_rows: int) -> DataFrame:
     )
 
 
-def schedule(totals: list[tuple[object, int, int]], spark, source_type) -> DataFrame:
-    """``(source, block, release, deadline, slot)`` for every block.
+def whole(weights: list[Fraction]) -> list[int]:
+    """The same weights as whole numbers."""
+    unit = math.lcm(*[w.denominator for w in weights])
+    scaled = [w.numerator * (unit // w.denominator) for w in weights]
+    common = math.gcd(*scaled) or 1
+    return [w // common for w in scaled]
 
-    ``totals`` holds (source, blocks, share of a period).  Period k gives a source its blocks
-    k * share up to (k + 1) * share, as far as it has them.
-    """
-    n_periods = max(-(-blocks // share) for _, blocks, share in totals)
-    table = F.array(*[
-        F.struct(F.lit(s).cast(source_type).alias("source"), F.lit(b).cast("bigint").alias("blocks"), F.lit(c).cast("bigint").alias("share"))
-        for s, b, c in totals
-    ])
-    k = F.col("id")
-    taken = lambda x, upto: F.least(upto * x["share"], x["blocks"])
-    jobs = F.filter(
-        F.transform(F.col("_all"), lambda x: F.struct(
-            x["source"].alias("source"), taken(x, k).alias("done"), (taken(x, k + 1) - taken(x, k)).cast("int").alias("n")
-        )),
-        lambda x: x["n"] > 0,
-    )
-    periods = (
-        spark.range(n_periods).withColumn("_all", table)
-        .withColumn("_base", F.aggregate("_all", F.lit(0).cast("bigint"), lambda a, x: a + taken(x, k)))
-        .withColumn("_jobs", jobs).drop("_all")
-        .withColumn("_m", F.aggregate("_jobs", F.lit(0), lambda a, x: a + x["n"]))
-        .withColumn("_order", earliest_deadline_first(F.col("_jobs"), F.col("_m")))
-    )
-    slots = periods.select("_base", "_m", "_jobs", F.posexplode("_order").alias("_slot", "_pick"))
-    job, j = F.col("_jobs")[F.col("_pick.job")], F.col("_pick.j")
-    m, n = F.col("_m"), job["n"]
-    return slots.select(
-        job["source"].alias("source"),
-        (job["done"] + j).alias("block"),
-        (F.col("_base") + release(j, m, n)).alias("release"),
-        (F.col("_base") + deadline(j, m, n)).alias("deadline"),
-        (F.col("_base") + F.col("_slot")).alias("slot"),
-    )
-
-
-def release(j: Column, m: Column, n: Column) -> Column:
-    """First slot in which block ``j`` of ``n`` may run in a period of ``m`` slots."""
-    return F.floor(j * m / n).cast("bigint")
 
+def windows(blocks: list[int], weights: list[int]) -> Iterator[Iterator[tuple[int, int]]]:
+    """For each source the (release, deadline) of its blocks in turn; weights are positive.
 
-def deadline(j: Column, m: Column, n: Column) -> Column:
-    """The slot before which it has to run."""
-    return F.ceil((j + 1) * m / n).cast("bigint")
-
-
-def earliest_deadline_first(jobs: Column, m: Column) -> Column:
-    """For each slot of a period the job that runs and the number of its block in the period."""
-    pick = "struct<deadline:bigint,job:int,j:int>"
-    start = F.struct(
-        F.transform(jobs, lambda x: F.lit(0)).alias("next"), F.array().cast(f"array<{pick}>").alias("out")
-    )
-
-    def step(state: Column, t: Column) -> Column:
-        offers = F.transform(jobs, lambda x, i: F.when(
-            (state["next"][i] < x["n"]) & (release(state["next"][i], m, x["n"]) <= t),
-            F.struct(deadline(state["next"][i], m, x["n"]).alias("deadline"), i.alias("job"), state["next"][i].alias("j")),
-        ))
-        best = F.array_min(F.filter(offers, lambda o: o.isNotNull()))
-        return F.transform(F.array(best), lambda b: F.struct(
-            F.transform(state["next"], lambda n, i: n + F.when(i == b["job"], 1).otherwise(0)).alias("next"),
-            F.concat(state["out"], F.array(b)).alias("out"),
-        ))[0]
-
-    return F.aggregate(F.sequence(F.lit(0), m - 1), start, step)["out"]
+    The fluid schedule has filled ``min(blocks, weight * v)`` of each source at level v.  Sources
+    run out in the order of ``blocks / weight``; between two of them time is linear in v.
+    """
+    order = sorted(range(len(blocks)), key=lambda i: Fraction(blocks[i], weights[i]))
+    levels, gone, rates = [], [0], [sum(weights)]
+    for i in order:
+        levels.append((blocks[i], weights[i]))
+        gone.append(gone[-1] + blocks[i])
+        rates.append(rates[-1] - weights[i])
+
+    def of(i: int) -> Iterator[tuple[int, int]]:
+        w, p = weights[i], 0
+        for j in range(blocks[i] + 1):
+            # the stretch of time in which level j / w lies
+            if j * levels[p][1] > levels[p][0] * w:
+                p = bisect_left(levels, True, lo=p, key=lambda x: x[0] * w >= j * x[1])
+            whole_part, rest = divmod(rates[p] * j, w)
+            at = gone[p] + whole_part
+            if j:
+                yield begun, at + (rest > 0)
+            begun = at
+
+    for i in range(len(blocks)):
+        yield of(i)
+
+
+def earliest_deadline_first(blocks: list[int], weights: list[int], start: int = 0, first: int = 0) -> Iterator[tuple[int, int, int, int]]:
+    """(source's number from ``first``, block, release, deadline) for each slot in turn, beginning with slot ``start``."""
+    streams = list(windows(blocks, weights))
+    waiting, ready, done = [], [], [0] * len(blocks)
+    for i, stream in enumerate(streams):
+        heapq.heappush(waiting, (*next(stream), i))
+    for t in range(sum(blocks)):
+        while waiting and waiting[0][0] <= t:
+            release, deadline, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (deadline, i, release))
+        deadline, i, release = heapq.heappop(ready)
+        yield first + i, done[i], start + release, start + deadline
+        done[i] += 1
+        following = next(streams[i], None)
+        if following:
+            heapq.heappush(waiting, (*following, i))
+
+
+def schedule(totals: list[tuple[object, int, Fraction]], spark, source_type, part_slots: int = PART_SLOTS) -> DataFrame:
+    """``(source, block, release, deadline, slot)`` for every block; ``totals`` holds (source, blocks, weight)."""
+    slots, at, number = [], 0, {}
+    for some in ([x for x in totals if x[2] > 0], [x for x in totals if x[2] == 0]):
+        weights = whole([w for _, _, w in some]) if some and some[0][2] > 0 else [1] * len(some)
+        blocks = [b for _, b, _ in some]
+        first = len(number)
+        number |= {first + k: s for k, (s, _, _) in enumerate(some)}
+        slots.append(earliest_deadline_first(blocks, weights, at, first))
+        at += sum(blocks)
+    form = "_number bigint, block bigint, release bigint, deadline bigint, slot bigint"
+    parts, rows = [], []
+    for slot, row in enumerate(x for part in slots for x in part):
+        rows.append((*row, slot))
+        if len(rows) == part_slots:
+            parts.append(materialize(spark.createDataFrame(rows, form), "slots"))
+            rows = []
+    if rows:
+        parts.append(materialize(spark.createDataFrame(rows, form), "slots"))
+    plan = parts[0]
+    for part in parts[1:]:
+        plan = plan.unionByName(part)
+    names = spark.createDataFrame(list(number.items()), StructType([StructField("_number", LongType()), StructField("source", source_type)]))
+    return plan.join(names, "_number").select("source", "block", "release", "deadline", "slot")
 
 
 def place(
-    documents: DataFrame, weights: dict | None = None, slots: int = SLOTS, block_rows: int = BLOCK_ROWS, bin_rows: int = BIN_ROWS
+    documents: DataFrame, weights: dict | None = None, slots: int | None = None, block_rows: int = BLOCK_ROWS, bin_rows: int = BIN_ROWS
 ) -> DataFrame:
     """``documents(doc_id, source, ...)`` with their rank in the source, block, window and slot."""
     slim = documents.drop(*RESULTS)
-    # one row per source: at most ``slots``, else shares() raises
-    counts = {r["source"]: r["count"] for r in slim.groupBy("source").count().limit(slots + 1).collect()}
+    # one row per source
+    counts = {r["source"]: r["count"] for r in slim.groupBy("source").count().collect()}
     if not counts:
         return slim.withColumns({c: F.lit(None).cast("bigint") for c in RESULTS})
     share = shares(counts, weights, slots)

@@ -220,6 +220,28 @@ def test_mixing_empty_table_and_too_many_sources(spark):
         mixing.place(many, slots=10)
 
 
+def test_mixing_follows_the_target_weights(spark):
+    sizes = {f"s{k}": 60 for k in range(19)} | {"hot": 571}
+    rows = [(s,) for s, n in sizes.items() for _ in range(n)]
+    weights = dict.fromkeys(sizes, 1.0) | {"hot": 9.5}
+    frame = spark.createDataFrame(rows, "source string").withColumn("doc_id", F.monotonically_increasing_id())
+    order = [r["source"] for r in mixing.place(frame, weights, block_rows=1).orderBy("slot").collect()]
+    got = dict.fromkeys(sizes, 0)
+    for t, source in enumerate(order[: 60 * 28], 1):
+        got[source] += 1
+        assert all(abs(got[s] - t * w / 28.5) < 1 for s, w in weights.items())
+
+
+def test_mixing_windows_hold_when_sources_run_out():
+    rng = random.Random(8)
+    for _ in range(60):
+        m = rng.randrange(1, 30)
+        blocks, weights = [rng.randrange(1, 40) for _ in range(m)], [rng.randrange(1, 50) for _ in range(m)]
+        rows = list(mixing.earliest_deadline_first(blocks, weights))
+        assert sorted((i, j) for i, j, _, _ in rows) == sorted((i, j) for i in range(m) for j in range(blocks[i]))
+        assert all(release <= t < deadline for t, (_, _, release, deadline) in enumerate(rows))
+
+
 def test_mixing_keeps_every_row_and_column(spark, edge):
     _, frame = edge
     twice = frame.unionByName(frame)
