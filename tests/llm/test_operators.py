@@ -242,6 +242,14 @@ def test_mixing_windows_hold_when_sources_run_out():
         assert all(release <= t < deadline for t, (_, _, release, deadline) in enumerate(rows))
 
 
+def test_mixing_takes_any_number_of_sources(spark):
+    many = spark.range(900).select(F.col("id").alias("doc_id"), (F.col("id") % 300).cast("string").alias("source"))
+    placed = mixing.place(many, block_rows=1)
+    assert placed.select("slot").distinct().count() == placed.count() == 900
+    some = mixing.place(many, {"7": 1.0, "8": 2.0}, block_rows=1).where("source in ('7', '8')")
+    assert some.agg(F.max("slot")).first()[0] == 5
+
+
 def test_mixing_keeps_every_row_and_column(spark, edge):
     _, frame = edge
     twice = frame.unionByName(frame)
