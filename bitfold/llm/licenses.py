@@ -4,10 +4,11 @@ Text and license template are aligned on words that occur exactly once in both:
 increasing run of their positions anchors the alignment, and the gaps between anchors are aligned
 the same way in turn.  Coverage is the share of the template's words that found their place.
 
-Texts are judged one by one in Arrow batches, nothing is shuffled.  A text goes through the
-alignment around every place where a trigger word stands (each template has one), so a long text
-costs as much as it has such places.  Windows are as wide as the template, so a notice that occurs
-at distant places is found although its words are not unique in the whole text.
+Texts are judged one by one in Arrow batches, nothing is shuffled.  Each template has rare words of
+its own, one more than the least coverage allows to be missing, so a text that covers it holds at
+least one of them.  Around every place where one stands, a window that holds enough of the
+template's words goes through the alignment.  Windows are as wide as the template, so a notice that
+occurs at distant places is found although its words are not unique in the whole text.
 
 Defined results: a null text, or one no template covers enough, has no license, coverage 0 and
 no span.  Of equal coverage the longer template, then the first place wins.  Repeated rows get
@@ -21,6 +22,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,7 +52,8 @@ TEMPLATES = {
         "associated documentation files, to deal in the Software without restriction"
     ),
 }
-TRIGGERS = ("license", "licensed", "licence", "permission", "redistribution", "redistribute")
+# fixed values: words of the templates that stand in texts of any kind
+COMMON = frozenset("a and any are as at be by can following for free in is it may not of or work the this that to under use with you your".split())
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 RESULTS = ("license", "coverage", "start_word", "end_word", "n_licenses")
 
@@ -99,27 +102,63 @@ def align(template: list[str], text: list[str]) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
-def windows(text: list[str], size: int) -> Iterator[tuple[int, int]]:
-    """A stretch of text for each trigger: ``size`` words to both sides."""
-    for at in (k for k, w in enumerate(text) if w in TRIGGERS):
-        yield max(0, at - size), min(len(text), at + size + 1)
+def most_missing(template: list[str], least: float) -> int:
+    """How many words of the template may be missing in a text that covers ``least`` of it."""
+    n = len(template)
+    return max(k for k in range(n + 1) if k == 0 or (n - k) / n >= least)
 
 
-def best_match(text: str | None, templates: dict[str, list[str]], least: float) -> tuple[str | None, float, int | None, int | None, int]:
+def rare_words(template: list[str], least: float) -> frozenset[str]:
+    """Words that stand at more places of the template than may be missing: the longest, common ones last."""
+    counts, out, places = Counter(template), set(), 0
+    for word in sorted(counts, key=lambda w: (w in COMMON, -len(w), w)):
+        if places > most_missing(template, least):
+            break
+        out.add(word)
+        places += counts[word]
+    return frozenset(out)
+
+
+@dataclass(frozen=True)
+class Template:
+    words: list[str]
+    rare: frozenset[str]
+    distinct: frozenset[str]
+    fewest: int  # distinct words that a text covering it holds
+
+
+def prepared(template: str, least: float) -> Template:
+    words = words_of(template)
+    distinct = frozenset(words)
+    return Template(words, rare_words(words, least), distinct, len(distinct) - most_missing(words, least))
+
+
+def windows(text: list[str], template: Template) -> Iterator[tuple[int, int]]:
+    """A stretch of text for each rare word: the template's size to both sides, if it holds enough of its words."""
+    size = len(template.words)
+    for at in (k for k, w in enumerate(text) if w in template.rare):
+        start, end = max(0, at - size), min(len(text), at + size + 1)
+        if len(template.distinct.intersection(text[start:end])) >= template.fewest:
+            yield start, end
+
+
+def best_match(text: str | None, templates: dict[str, Template], least: float) -> tuple[str | None, float, int | None, int | None, int]:
     """License, coverage, first and last matched word (end exclusive), and how many templates fit."""
     found = []
     words = words_of(text or "")
-    if not any(w in TRIGGERS for w in words):
-        return None, 0.0, None, None, 0
+    present = frozenset(words)
     for name, template in templates.items():
+        if template.rare.isdisjoint(present) or len(template.distinct & present) < template.fewest:
+            continue
         top = None
-        for start, end in windows(words, len(template)):
-            matched = align(template, words[start:end])
-            share = len(matched) / len(template)
+        size = len(template.words)
+        for start, end in windows(words, template):
+            matched = align(template.words, words[start:end])
+            share = len(matched) / size
             if matched and share >= least and (top is None or share > top[0]):
                 top = (share, start + matched[0][1], start + matched[-1][1] + 1)
         if top:
-            found.append((top[0], len(template), name, top[1], top[2]))
+            found.append((top[0], size, name, top[1], top[2]))
     if not found:
         return None, 0.0, None, None, 0
     share, _, name, start, end = max(found, key=lambda f: (f[0], f[1], f[2]))
@@ -127,7 +166,7 @@ def best_match(text: str | None, templates: dict[str, list[str]], least: float)
 
 
 def scanner(templates: dict[str, str], least: float):
-    cut = {name: words_of(t) for name, t in templates.items()}
+    cut = {name: prepared(t, least) for name, t in templates.items()}
     kinds = [pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
 
     @F.arrow_udf("struct<license: string, coverage: double, start_word: int, end_word: int, n_licenses: int>")
@@ -143,8 +182,9 @@ def scanner(templates: dict[str, str], least: float):
 def scan(documents: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLATES, least: float = 0.8) -> DataFrame:
     """``documents`` with ``RESULTS``; ``least`` is the smallest coverage that counts."""
     kept = documents.drop(*[c for c in RESULTS if c in documents.columns])
-    # texts without a trigger are not sent to Python at all
-    hint = F.when(F.col(text).rlike("(?i)" + "|".join(sorted(TRIGGERS))), F.col(text))
+    # texts without a rare word of any template are not sent to Python at all
+    rare = sorted(set().union(*[prepared(t, least).rare for t in templates.values()]))
+    hint = F.when(F.col(text).rlike("(?iu)" + "|".join(map(re.escape, rare))), F.col(text))
     return kept.withColumn("_hint", hint).withColumn("_found", scanner(templates, least)(F.col("_hint"))).select(
         *[F.col(f"`{c}`") for c in kept.columns], "_found.*"
     )

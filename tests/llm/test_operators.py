@@ -273,6 +273,21 @@ def test_license_notices_are_found(spark):
     assert all(got[k]["license"] is None and got[k]["coverage"] == 0 for k in (90, 91, 92, 93))
 
 
+def test_license_notices_with_any_word_changed_are_found(spark):
+    rows = []
+    for name, notice in licenses.TEMPLATES.items():
+        words = licenses.words_of(notice)
+        for k in range(len(words)):
+            changed = " ".join([*words[:k], "xyzzy", *words[k + 1 :]])
+            rows.append((len(rows), name, (len(words) - 1) / len(words), f"foo bar {changed} the end"))
+    rows.append((len(rows), "BSD", 0.9, licenses.TEMPLATES["BSD"].replace("Redistribution", "Re-distribution")))
+    out = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, name string, share double, text string").repartition(4)).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        assert r["license"] is not None and r["coverage"] >= min(r["share"], 0.8), r
+    assert {r["license"] for r in out if r["name"] == "BSD"} == {"BSD"}
+
+
 def test_patience_alignment_is_increasing():
     rng = random.Random(4)
     for _ in range(200):
