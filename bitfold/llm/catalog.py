@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from bitfold.llm import exact, language, licenses, mixing, nearcopies, pieces, quality, secrets, suffixes, urls
+from bitfold.llm import exact, language, licenses, mixing, nearcopies, pieces, quality, resampling, secrets, suffixes, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,9 +22,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": suffixes.op8_suffix_dedup,
         "op9_near_dedup": nearcopies.op9_near_dedup,
         "op10_sentencepiece": pieces.op10_sentencepiece,
+        "op11_importance_resampling": resampling.op11_importance_resampling,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact.OP3_SQL}
+    return {
+        "op3_exact_dedup": exact.OP3_SQL,
+        "op11_importance_resampling": resampling.op11_sql(),
+    }
