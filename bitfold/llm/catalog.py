@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from bitfold.llm import exact, language, licenses, mixing, nearcopies, pieces, quality, resampling, secrets, suffixes, urls
+from bitfold.llm import exact, language, licenses, mixing, nearcopies, pieces, quality, resampling, secrets, sharding, suffixes, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_near_dedup": nearcopies.op9_near_dedup,
         "op10_sentencepiece": pieces.op10_sentencepiece,
         "op11_importance_resampling": resampling.op11_importance_resampling,
+        "op12_sharding": sharding.op12_sharding,
         "pipeline": corpus_pipeline.run,
     }
 
