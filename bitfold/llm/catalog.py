@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from bitfold.llm import exact, language, licenses, mixing, nearcopies, pieces, quality, resampling, secrets, sharding, suffixes, urls
+from bitfold.llm import exact, language, licenses, mixing, nearcopies, pieces, quality, resampling, secrets, sharding, spelling, suffixes, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_sentencepiece": pieces.op10_sentencepiece,
         "op11_importance_resampling": resampling.op11_importance_resampling,
         "op12_sharding": sharding.op12_sharding,
+        "op13_spelling_variants": spelling.op13_spelling_variants,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -32,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_exact_dedup": exact.OP3_SQL,
         "op11_importance_resampling": resampling.op11_sql(),
+        "op13_spelling_variants": spelling.op13_sql(),
     }
