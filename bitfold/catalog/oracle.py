@@ -10,8 +10,8 @@ import math
 
 from bitfold.catalog.datasets import SEED, TRAIN_RATIO
 from bitfold.catalog.queries import (
-    ERROR_CELLS, ERROR_THRESHOLDS, FIND_CELLS, FIND_THRESHOLDS, GRID_CELLS, GRID_THRESHOLDS, SHARE,
-    SHARE_THRESHOLDS, SIGN_CELLS, SIGN_GRID_THRESHOLDS, SIGN_THRESHOLDS,
+    ERROR_CELLS, ERROR_THRESHOLDS, FIND_CELLS, FIND_THRESHOLDS, GRID_CELLS, GRID_THRESHOLDS, HAMMING_RADIUS,
+    PARITY_RADIUS, SHARE, SHARE_THRESHOLDS, SIGN_CELLS, SIGN_GRID_THRESHOLDS, SIGN_RADIUS, SIGN_THRESHOLDS,
 )
 from bitfold.functions.hashing import MASK32, MIX_FACTOR, PRIME31, seed_constant
 from bitfold.functions.lanes import GAUSS_SCALE
@@ -380,6 +380,31 @@ listed AS MATERIALIZED (SELECT draws.*, coalesce(overlap, 0) AS overlap, p.card
     LEFT JOIN met USING (pair_id) JOIN own p ON p.doc_id = i JOIN own q ON q.doc_id = j)"""
 
 
+# apart(x, y, overlap, cx, cy): every pair of different rows, and how many features they share
+APART = f"""{OVERLAPS},
+own AS MATERIALIZED (SELECT docs.doc_id, count(feature_id) AS card FROM docs LEFT JOIN items USING (doc_id) GROUP BY docs.doc_id),
+apart AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, coalesce(overlap, 0) AS overlap, a.card AS cx, b.card AS cy
+    FROM own a JOIN own b ON a.doc_id < b.doc_id LEFT JOIN common_items m ON m.x = a.doc_id AND m.y = b.doc_id)"""
+DISTANCE = "cx + cy - 2 * overlap"
+
+
+def _near_sketches(algorithm: str, k: int, radius: int, two_sided: bool) -> str:
+    """Every pair of rows by the bits in which their sketches differ; equal sketches under their smallest id."""
+    body = f"""WITH {DOCUMENTS}, {SKETCH[algorithm](k)}, {split()},
+marks AS (SELECT docs.doc_id, coalesce(string_agg(bucket::VARCHAR, ',' ORDER BY bucket), '') AS m, count(bucket) AS c
+    FROM docs LEFT JOIN bits USING (doc_id) GROUP BY docs.doc_id),
+named AS MATERIALIZED (SELECT doc_id, c, min(doc_id) OVER (PARTITION BY m) AS rep FROM marks),
+shared_bits AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM bits a JOIN bits b
+    ON a.bucket = b.bucket AND a.doc_id < b.doc_id GROUP BY 1, 2),
+near AS (SELECT a.doc_id AS x, b.doc_id AS y, a.rep AS rx, b.rep AS ry, a.c + b.c - 2 * coalesce(common, 0) AS distance
+    FROM named a JOIN named b ON a.doc_id < b.doc_id LEFT JOIN shared_bits s ON s.x = a.doc_id AND s.y = b.doc_id
+    WHERE a.c + b.c - 2 * coalesce(common, 0) <= {radius})"""
+    if two_sided:
+        return f"""{body} SELECT CASE WHEN p.side = 'query' THEN rx ELSE ry END AS i, CASE WHEN p.side = 'query' THEN ry ELSE rx END AS j,
+count(*) AS n_pairs, distance FROM near JOIN side p ON p.doc_id = x JOIN side q ON q.doc_id = y WHERE p.side <> q.side GROUP BY 1, 2, distance"""
+    return f"{body} SELECT least(rx, ry) AS i, greatest(rx, ry) AS j, count(*) AS n_pairs, distance FROM near GROUP BY 1, 2, distance"
+
+
 ALL_FOUR = ("inner_product", "hamming_distance", "jaccard_similarity", "cosine_similarity")
 
 
@@ -466,6 +491,20 @@ SELECT bucket, count(*) AS n_features, sum(feature_id)::BIGINT AS feature_sum FR
         "exact_hamming": f"{truth} SELECT i, j, n_pairs, (card_i + card_j - 2 * overlap)::DOUBLE AS hamming_distance FROM cp",
         "exact_pair_list": f"""{bought}, {sampled(500, True)} SELECT pair_id, i, j, overlap, card_i, card_j,
 {', '.join(r6(exact(s, 'overlap', 'card_i', 'card_j'), s) for s in ALL_FOUR)} FROM listed""",
+        "hamming_pairs": f"""WITH {DOCUMENTS}, {REPS}, {APART}
+SELECT least(p.rep, q.rep) AS i, greatest(p.rep, q.rep) AS j, overlap, CASE WHEN p.rep <= q.rep THEN cx ELSE cy END AS card_i,
+CASE WHEN p.rep <= q.rep THEN cy ELSE cx END AS card_j, count(*) AS n_pairs, {DISTANCE} AS distance
+FROM apart JOIN reps p ON p.doc_id = x JOIN reps q ON q.doc_id = y WHERE {DISTANCE} <= {HAMMING_RADIUS} GROUP BY ALL""",
+        "hamming_pairs_queries": f"""WITH {DOCUMENTS}, {REPS}, {APART}, {split()}
+SELECT CASE WHEN a.side = 'query' THEN p.rep ELSE q.rep END AS i, CASE WHEN a.side = 'query' THEN q.rep ELSE p.rep END AS j,
+count(*) AS n_pairs, {DISTANCE} AS distance FROM apart JOIN reps p ON p.doc_id = x JOIN reps q ON q.doc_id = y
+JOIN side a ON a.doc_id = x JOIN side b ON b.doc_id = y WHERE a.side <> b.side AND {DISTANCE} <= {HAMMING_RADIUS} GROUP BY 1, 2, 4""",
+        "hamming_neighbors": f"""WITH {DOCUMENTS}, {APART}, near AS (SELECT x, y FROM apart WHERE {DISTANCE} <= {HAMMING_RADIUS})
+SELECT docs.doc_id, count(o) AS n_near FROM docs LEFT JOIN (SELECT x AS d, y AS o FROM near UNION ALL SELECT y, x FROM near) ON d = doc_id
+GROUP BY docs.doc_id""",
+        "hamming_sketch_pairs": _near_sketches(*SIGN_RADIUS, False),
+        "hamming_sketch_pairs_bcs": _near_sketches(*PARITY_RADIUS, False),
+        "hamming_sketch_pairs_queries": _near_sketches(*SIGN_RADIUS, True),
         "query_train_exact": f"{qt} {_by_class('qt', 'sim', min(FIND_THRESHOLDS))}",
         "query_train_binsketch": _found_query("BinSketch", 1000, "jaccard_similarity", 0.2),
         "query_train_bcs": _found_query("BCS", 1000, "jaccard_similarity", 0.2),

@@ -19,6 +19,7 @@ from bitfold.functions.similarity import exact_similarity
 from bitfold.operators.encode import (
     binarize, coordinate_export, dataset_summary, head_sample, preview, row_support, set_arrays, value_check,
 )
+from bitfold.operators.hamming import near_sets, near_sketches, neighbor_rows, sketch_classes
 from bitfold.operators.pairs import (
     exact_pairs, filter_by_threshold, filter_report, neighbor_counts, neighbors_by_threshold, sample_pairs,
 )
@@ -42,6 +43,9 @@ FIND_THRESHOLDS = [0.2, 0.5, 0.85]
 FIND_CELLS = (("BinSketch", 1000), ("BCS", 1000), ("MinHash", 64))
 SIGN_THRESHOLDS = [0.8, 0.9, 0.95]
 SIGN_CELLS = (("SimHash", 128),)
+HAMMING_RADIUS = 20
+SIGN_RADIUS = ("SimHash", 128, 12)
+PARITY_RADIUS = ("BCS", 1000, 20)
 COMPARISONS = ("ge", "gt", "le", "lt", "eq")
 SHARE = 0.025  # a Jaccard similarity that some pairs of customers have exactly
 SHARE_THRESHOLDS = [0.01, 0.025, 0.05, 0.2]
@@ -233,6 +237,39 @@ def query_train_inner_product(spark, sf):
     return rounded(pairs.select("i", "j", "n_pairs", "sim"))
 
 
+# ---- Hamming distance, from above ----
+
+
+def hamming_pairs(spark, sf):
+    return near_sets(classes(spark, sf, "documents"), HAMMING_RADIUS).select(
+        "i", "j", "overlap", "card_i", "card_j", "n_pairs", "distance"
+    )
+
+
+def hamming_pairs_queries(spark, sf):
+    found = near_sets(split_classes(spark, sf, "documents"), HAMMING_RADIUS, two_sided=True)
+    return found.select("i", "j", "n_pairs", "distance")
+
+
+def hamming_neighbors(spark, sf):
+    return neighbor_rows(classes(spark, sf, "documents"), HAMMING_RADIUS)
+
+
+def _sketch_pairs_query(name, algorithm, k, radius, source=classes, two_sided=False):
+    def query(spark, sf):
+        sets = source(spark, sf, "documents")
+        sketches = get_model(algorithm, SEED).mapping(sets.as_sets(), k)
+        return near_sketches(sketch_classes(sketches, sets.classes), k, radius, two_sided)
+
+    query.__name__ = name
+    return query
+
+
+hamming_sketch_pairs = _sketch_pairs_query("hamming_sketch_pairs", *SIGN_RADIUS)
+hamming_sketch_pairs_bcs = _sketch_pairs_query("hamming_sketch_pairs_bcs", *PARITY_RADIUS)
+hamming_sketch_pairs_queries = _sketch_pairs_query("hamming_sketch_pairs_queries", *SIGN_RADIUS, split_classes, True)
+
+
 # ---- retrieval from sketches ----
 
 
@@ -469,6 +506,8 @@ REGISTERED = (
     query_train_inner_product, filter_universe, filter_retrieval_reports, *filter_retrieval_by,
     profile_universe, profile_queries, threshold_report_universe, threshold_report_queries,
     retrieval_grid_jaccard, retrieval_grid_cosine,
+    hamming_pairs, hamming_pairs_queries, hamming_neighbors, hamming_sketch_pairs, hamming_sketch_pairs_bcs,
+    hamming_sketch_pairs_queries,
 )
 
 

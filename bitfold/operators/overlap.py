@@ -108,7 +108,7 @@ def seen_often_enough(index: DataFrame, two_sided: bool, pair_need=None) -> Data
     return seen.where(F.col("seen") >= F.col("wanted")).drop("seen", "wanted")
 
 
-def _verified(candidates: DataFrame, sets: SetClasses) -> DataFrame:
+def verified_overlaps(candidates: DataFrame, sets: SetClasses) -> DataFrame:
     """Add the exact overlap of every candidate pair."""
     largest = sets.classes.agg(F.max("card")).first()[0] or 0  # one number
     n_chunks = chunk_count(largest)
@@ -173,7 +173,7 @@ def _similar_pairs(sets: SetClasses, similarity: str, threshold: float, comparis
         two_sided,
         lambda card_i, card_j: _pair_need(card_i, card_j, similarity, bound),
     )
-    verified = _verified(candidates, sets)
+    verified = verified_overlaps(candidates, sets)
     pairs = verified.withColumn("n_pairs", F.col("n_i") * F.col("n_j"))
 
     several = sets.classes.where(F.col("card") > 0)
