@@ -11,7 +11,7 @@ import math
 from bitfold.catalog.datasets import SEED, TRAIN_RATIO
 from bitfold.catalog.queries import (
     ERROR_CELLS, ERROR_THRESHOLDS, FIND_CELLS, FIND_THRESHOLDS, GRID_CELLS, GRID_THRESHOLDS, HAMMING_RADIUS,
-    PARITY_RADIUS, SHARE, SHARE_THRESHOLDS, SIGN_CELLS, SIGN_GRID_THRESHOLDS, SIGN_RADIUS, SIGN_THRESHOLDS,
+    LOW_CELLS, LOW_QUERIES, LOW_THRESHOLDS, PARITY_RADIUS, SHARE, SHARE_THRESHOLDS, SIGN_CELLS, SIGN_GRID_THRESHOLDS, SIGN_RADIUS, SIGN_THRESHOLDS,
 )
 from bitfold.functions.hashing import MASK32, MIX_FACTOR, PRIME31, seed_constant
 from bitfold.functions.lanes import GAUSS_SCALE
@@ -243,10 +243,10 @@ def _pair_query(sets: str, similarity: str, threshold: float) -> str:
 SELECT i, j, overlap, card_i, card_j, n_pairs, {r6('sim', 'sim')} FROM cp"""
 
 
-def _by_class(pairs: str, value: str, threshold: float) -> str:
+def _by_class(pairs: str, value: str, threshold: float, compared: str = ">=") -> str:
     return f"""SELECT rq.rep AS i, rt.rep AS j, count(*) AS n_pairs, {r6(value, value)}
 FROM {pairs} JOIN reps rq ON rq.doc_id = q JOIN reps rt ON rt.doc_id = t
-WHERE {value} >= {dbl(threshold)} GROUP BY rq.rep, rt.rep, {value}"""
+WHERE {value} {compared} {dbl(threshold)} GROUP BY rq.rep, rt.rep, {value}"""
 
 
 def found_pairs(algorithm: str, k: int, similarity: str) -> str:
@@ -258,7 +258,7 @@ fp AS MATERIALIZED (SELECT x AS q, y AS t, {similarity} AS est FROM est)"""
 
 def _found_query(algorithm: str, k: int, similarity: str, threshold: float) -> str:
     return f"""WITH {DOCUMENTS}, {REPS}, {split()}, {found_pairs(algorithm, k, similarity)}
-{_by_class('fp', 'est', threshold)}"""
+{_by_class('fp', 'est', threshold, "<=" if similarity == "hamming_distance" else ">=")}"""
 
 
 def _outcomes(algorithm: str, k: int, similarity: str, thresholds: list[float]) -> str:
@@ -510,6 +510,8 @@ GROUP BY docs.doc_id""",
         "query_train_bcs": _found_query("BCS", 1000, "jaccard_similarity", 0.2),
         "query_train_minhash": _found_query("MinHash", 64, "jaccard_similarity", 0.2),
         "query_train_simhash": _found_query("SimHash", 128, "cosine_similarity", 0.8),
+        **{name: _found_query(a, k, similarity, t) for name, (a, similarity, t, k) in LOW_QUERIES.items()},
+        "retrieval_grid_low": _retrieval_grid_query("jaccard_similarity", LOW_THRESHOLDS, LOW_CELLS),
         "filter_reports": f"{truth} {reports}",
         "filter_pairs": f"{truth} SELECT i, j, {r6('sim', 'sim')} FROM cp WHERE sim > {dbl(0.15)}",
         "filter_retrieval": f"""{qt} SELECT rq.rep AS query_id, rt.rep AS train_idx, {r6('sim', 'similarity')}, count(*) AS n_pairs

@@ -29,6 +29,7 @@ from bitfold.operators.profile import (
 from bitfold.operators.retrieve import attach_sketches, estimated_neighbors
 from bitfold.operators.sketches import get_model
 from bitfold.operators.split import same_split, train_query_split
+from bitfold.operators.tiles import tiled_neighbors
 from bitfold.plans.accuracy import accuracy_grid, algorithm_accuracy
 from bitfold.plans.retrieval import query_outcomes, retrieval_grid, summarize
 from bitfold.plans.sampled import best_algorithms, sampled_errors
@@ -51,6 +52,15 @@ SHARE = 0.025  # a Jaccard similarity that some pairs of customers have exactly
 SHARE_THRESHOLDS = [0.01, 0.025, 0.05, 0.2]
 GRID_THRESHOLDS = [0.5, 0.85, 1.5]  # nothing reaches the last
 SIGN_GRID_THRESHOLDS = [0.8, 0.9, 1.5]
+LOW_THRESHOLDS = [0.1, 0.3, 0.5, 0.7, 0.95]
+LOW_CELLS = (("BinSketch", 100), ("BCS", 100), ("MinHash", 100))
+LOW_QUERIES = {
+    "query_train_low_binsketch": ("BinSketch", "jaccard_similarity", 0.1, 100),
+    "query_train_low_bcs": ("BCS", "jaccard_similarity", 0.1, 100),
+    "query_train_low_minhash": ("MinHash", "jaccard_similarity", 0.1, 100),
+    "query_train_low_simhash": ("SimHash", "cosine_similarity", 0.1, 100),
+    "query_train_hamming_binsketch": ("BinSketch", "hamming_distance", 20, 1000),
+}
 GRID_CELLS = (("BinSketch", 500), ("BCS", 500), ("MinHash", 64))
 
 
@@ -300,6 +310,18 @@ query_train_minhash = _found_query("query_train_minhash", "MinHash", JACCARD, 0.
 query_train_simhash = _found_query("query_train_simhash", "SimHash", COSINE, 0.8, 128)
 
 
+def _tiled_query(name, algorithm, similarity, threshold, k):
+    def query(spark, sf):
+        found = tiled_neighbors(get_model(algorithm, SEED), split_classes(spark, sf, "documents"), similarity, threshold, k)
+        return rounded(found.select("i", "j", "n_pairs", "est"))
+
+    query.__name__ = name
+    return query
+
+
+query_train_low = tuple(_tiled_query(name, *what) for name, what in LOW_QUERIES.items())
+
+
 # ---- filters, neighbours, profiles ----
 
 
@@ -464,6 +486,12 @@ def retrieval_grid_jaccard(spark, sf):
     return rounded(reduce(DataFrame.unionByName, cells))
 
 
+def retrieval_grid_low(spark, sf):
+    sets, pairs = split_classes(spark, sf, "documents"), split_truth(spark, sf, "documents", JACCARD, min(LOW_THRESHOLDS))
+    cells = [retrieval_grid(sets, [a], LOW_THRESHOLDS, JACCARD, "f1", [k], SEED, pairs) for a, k in LOW_CELLS]
+    return rounded(reduce(DataFrame.unionByName, cells))
+
+
 def retrieval_grid_cosine(spark, sf):
     sets = split_classes(spark, sf, "documents")
     return rounded(retrieval_grid(sets, ["SimHash"], SIGN_GRID_THRESHOLDS, COSINE, "f1", [128], SEED))
@@ -507,7 +535,7 @@ REGISTERED = (
     profile_universe, profile_queries, threshold_report_universe, threshold_report_queries,
     retrieval_grid_jaccard, retrieval_grid_cosine,
     hamming_pairs, hamming_pairs_queries, hamming_neighbors, hamming_sketch_pairs, hamming_sketch_pairs_bcs,
-    hamming_sketch_pairs_queries,
+    hamming_sketch_pairs_queries, *query_train_low, retrieval_grid_low,
 )
 
 

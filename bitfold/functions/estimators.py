@@ -1,8 +1,10 @@
 """Similarity estimates from two sketches of the same length k.
 
 A sketch is an ARRAY<BIGINT>: packed words for the three bit sketches, one value per
-lane for min-wise signatures.  Every estimator takes ``(a, card_a, b, card_b, k)``,
-where ``card`` is the number of set bits, and returns a DOUBLE column.
+lane for min-wise signatures.  All estimates follow from one count per pair: the bits set in
+both (BinSketch, BCS), the equal lanes (MinHash) or the differing bits (SimHash).  An estimator takes
+``(count, card_a, card_b, k)``, where ``card`` is the number of set bits, and returns a DOUBLE column;
+``get_estimator`` gives the form that counts on two sketches, ``(a, card_a, b, card_b, k)``.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from bitfold.functions.bits import and_count, xor_count
 from bitfold.functions.similarity import ratio
 
+Counted = Callable[[Column, Column, Column, int], Column]
 Estimator = Callable[[Column, Column, Column, Column, int], Column]
 
 
@@ -44,82 +47,83 @@ def _corrected_overlap(shared: Column, size_a: Column, size_b: Column, k: int) -
     return F.when((left_free > 0) & (corrected >= 0), corrected).otherwise(raw)
 
 
-def _or_parts(a, card_a, b, card_b, k):
+def _or_parts(shared, card_a, card_b, k):
     size_a, size_b = sparsity(card_a, k), sparsity(card_b, k)
-    return size_a, size_b, _corrected_overlap(and_count(a, b, k), size_a, size_b, k)
+    return size_a, size_b, _corrected_overlap(shared, size_a, size_b, k)
 
 
-def or_inner_product(a, card_a, b, card_b, k):
-    return _or_parts(a, card_a, b, card_b, k)[2]
+def or_inner_product(shared, card_a, card_b, k):
+    return _or_parts(shared, card_a, card_b, k)[2]
 
 
-def or_hamming(a, card_a, b, card_b, k):
-    size_a, size_b, overlap = _or_parts(a, card_a, b, card_b, k)
+def or_hamming(shared, card_a, card_b, k):
+    size_a, size_b, overlap = _or_parts(shared, card_a, card_b, k)
     return size_a + size_b - 2 * overlap
 
 
-def or_jaccard(a, card_a, b, card_b, k):
-    size_a, size_b, overlap = _or_parts(a, card_a, b, card_b, k)
+def or_jaccard(shared, card_a, card_b, k):
+    size_a, size_b, overlap = _or_parts(shared, card_a, card_b, k)
     return ratio(overlap, size_a + size_b - overlap)
 
 
-def or_cosine(a, card_a, b, card_b, k):
-    size_a, size_b, overlap = _or_parts(a, card_a, b, card_b, k)
+def or_cosine(shared, card_a, card_b, k):
+    size_a, size_b, overlap = _or_parts(shared, card_a, card_b, k)
     return ratio(overlap, F.sqrt(size_a) * F.sqrt(size_b))
 
 
 # ---- BCS: bucketed parity, raw sketch statistics ----
 
 
-def parity_inner_product(a, card_a, b, card_b, k):
-    return and_count(a, b, k).cast("double")
+def parity_inner_product(shared, card_a, card_b, k):
+    return shared.cast("double")
 
 
-def parity_hamming(a, card_a, b, card_b, k):
-    return xor_count(a, b, k).cast("double")
+def parity_hamming(shared, card_a, card_b, k):
+    return (card_a + card_b - 2 * shared).cast("double")
 
 
-def parity_jaccard(a, card_a, b, card_b, k):
-    shared = and_count(a, b, k)
+def parity_jaccard(shared, card_a, card_b, k):
     return ratio(shared, card_a + card_b - shared)
 
 
-def parity_cosine(a, card_a, b, card_b, k):
+def parity_cosine(shared, card_a, card_b, k):
     norms = F.sqrt(card_a.cast("double")) * F.sqrt(card_b.cast("double"))
-    return ratio(and_count(a, b, k), norms)
+    return ratio(shared, norms)
 
 
 # ---- MinHash: share of equal lanes ----
 
 
-def equal_lanes(a: Column, b: Column) -> Column:
+def equal_lanes(a: Column, b: Column, k: int) -> Column:
     same = F.zip_with(a, b, lambda x, y: x == y)
     return F.size(F.filter(same, lambda s: s)).cast("bigint")
 
 
-def lanes_jaccard(a, card_a, b, card_b, k):
-    return equal_lanes(a, b) / F.lit(float(k))
+def lanes_jaccard(equal, card_a, card_b, k):
+    return equal / F.lit(float(k))
 
 
-def lanes_cosine(a, card_a, b, card_b, k):
-    j = lanes_jaccard(a, card_a, b, card_b, k)
+def lanes_cosine(equal, card_a, card_b, k):
+    j = lanes_jaccard(equal, card_a, card_b, k)
     return F.when(j > 0, 2 * j / (1 + j)).otherwise(F.lit(0.0))
 
 
 # ---- SimHash: signs of random projections ----
 
 
-def signs_hamming(a, card_a, b, card_b, k):
-    return xor_count(a, b, k).cast("double")
+def signs_hamming(differing, card_a, card_b, k):
+    return differing.cast("double")
 
 
-def signs_cosine(a, card_a, b, card_b, k):
-    return F.cos(F.lit(math.pi) * (xor_count(a, b, k) / F.lit(float(k))))
+def signs_cosine(differing, card_a, card_b, k):
+    return F.cos(F.lit(math.pi) * (differing / F.lit(float(k))))
 
 
 # ---- which sketch can estimate what ----
 
-ESTIMATORS: dict[str, dict[str, Estimator]] = {
+COUNTS = {"BinSketch": and_count, "BCS": and_count, "MinHash": equal_lanes, "SimHash": xor_count}
+
+ESTIMATORS: dict[str, dict[str, Counted]] = {
     "BinSketch": {
         "inner_product": or_inner_product,
         "hamming_distance": or_hamming,
@@ -137,11 +141,21 @@ ESTIMATORS: dict[str, dict[str, Estimator]] = {
 }
 
 
-def get_estimator(algorithm: str, similarity: str) -> Estimator:
-    """The estimator, or an error before any Spark job starts."""
+def get_counted_estimator(algorithm: str, similarity: str) -> Counted:
+    """The estimator from the count of a pair, or an error before any Spark job starts."""
     if algorithm not in ESTIMATORS:
         raise ValueError(f"unknown algorithm {algorithm!r}; one of {', '.join(ESTIMATORS)}")
     known = ESTIMATORS[algorithm]
     if similarity not in known:
         raise ValueError(f"{algorithm} cannot estimate {similarity!r}; it offers {', '.join(known)}")
     return known[similarity]
+
+
+def get_estimator(algorithm: str, similarity: str) -> Estimator:
+    """The estimator from two sketches, or an error before any Spark job starts."""
+    counted = get_counted_estimator(algorithm, similarity)
+
+    def estimate(a: Column, card_a: Column, b: Column, card_b: Column, k: int) -> Column:
+        return counted(COUNTS[algorithm](a, b, k), card_a, card_b, k)
+
+    return estimate

@@ -29,39 +29,65 @@ from bitfold.session import materialize
 RUN_BITS = 62  # longest run of sign bits compared as one key
 
 
-def least_shared(algorithm: str, similarity: str, k: int, threshold: float) -> list[int]:
-    """For c = 0..k: how many buckets a sketch with c set bits must share at least with any
-    partner before the estimate can reach ``threshold``; k + 1 if it never can."""
+def set_sizes(algorithm: str, k: int) -> np.ndarray:
+    """For c = 0..k: the size of set that the estimates take a sketch with c set bits for."""
     cards = np.arange(k + 1, dtype=float)
     if algorithm == "BCS" or k == 1:
-        sizes = cards
+        return cards
+    with np.errstate(divide="ignore"):
+        sizes = np.rint(np.log(1 - cards / k) / math.log(1 - 1 / k))
+    sizes[k] = k
+    return sizes
+
+
+def shared_by_pair(algorithm: str, similarity: str, k: int, threshold: float, mine: np.ndarray, partner: np.ndarray) -> np.ndarray:
+    """How many buckets two sketches of sets taken for these sizes must share before the estimate can reach
+    ``threshold`` (a Hamming distance: not exceed it); never too many."""
+    least = 1.0
+    if similarity == "inner_product":
+        wanted = np.full(np.broadcast(mine, partner).shape, float(threshold))
+    elif similarity == "jaccard_similarity":
+        wanted = threshold / (1 + threshold) * (mine + partner)
+    elif similarity == "hamming_distance":
+        wanted, least = (mine + partner - threshold) / 2, 0.0
     else:
-        with np.errstate(divide="ignore"):
-            sizes = np.rint(np.log(1 - cards / k) / math.log(1 - 1 / k))
-        sizes[k] = k
+        wanted = threshold * np.sqrt(mine * partner)
+    overlap = np.maximum(np.ceil(wanted - SLACK), least)
+    shared = overlap
+    if algorithm == "BinSketch" and k > 1:
+        # the rounded estimate reaches `overlap` once its argument reaches overlap - 1/2
+        stay = 1 - 1 / k
+        argument = stay ** (mine + partner - overlap + 0.5)
+        corrected = k * (argument + 1 - stay**mine - stay**partner)
+        shared = np.minimum(shared, np.ceil(corrected - 1e-6))
+    return np.maximum(shared, least)
+
+
+def least_shared(algorithm: str, similarity: str, k: int, threshold: float) -> list[int]:
+    """For c = 0..k: how many buckets a sketch with c set bits must share at least with any
+    partner before the estimate can reach ``threshold``; k + 1 if it never can."""
+    cards, sizes = np.arange(k + 1, dtype=float), set_sizes(algorithm, k)
     out = [k + 1]
     for c in range(1, k + 1):
-        partner, mine = sizes[1:], sizes[c]
-        if similarity == "inner_product":
-            wanted = np.full(k, float(threshold))
-        elif similarity == "jaccard_similarity":
-            wanted = threshold / (1 + threshold) * (mine + partner)
-        else:
-            wanted = threshold * np.sqrt(mine * partner)
-        overlap = np.maximum(np.ceil(wanted - SLACK), 1.0)
-        shared = overlap
-        if algorithm == "BinSketch" and k > 1:
-            # the rounded estimate reaches `overlap` once its argument reaches overlap - 1/2
-            stay = 1 - 1 / k
-            argument = stay ** (mine + partner - overlap + 0.5)
-            corrected = k * (argument + 1 - stay**mine - stay**partner)
-            shared = np.minimum(shared, np.ceil(corrected - 1e-6))
-        shared = np.maximum(shared, 1)
+        shared = shared_by_pair(algorithm, similarity, k, threshold, sizes[c], sizes[1:])
         possible = shared <= np.minimum(c, cards[1:])
         out.append(int(shared[possible].min()) if possible.any() else k + 1)
     return out
 
 
+def least_lanes(similarity: str, k: int, threshold: float) -> int:
+    """How many lanes of two min-wise signatures must be equal."""
+    jaccard = threshold if similarity == "jaccard_similarity" else threshold / (2 - threshold)
+    return max(1, math.ceil(jaccard * k - SLACK))
+
+
+def most_differing(similarity: str, k: int, threshold: float) -> int:
+    """How many bits of two sign sketches may differ."""
+    if similarity == "hamming_distance":
+        return min(k, math.floor(threshold))
+    return min(k, math.floor(k * math.acos(max(-1.0, min(1.0, threshold))) / math.pi + SLACK))
+
+
 def _tokens(sketches: DataFrame, algorithm: str, k: int) -> DataFrame:
     if algorithm == "MinHash":
         lane = F.posexplode("sketch").alias("lane", "value")
@@ -73,9 +99,7 @@ def _tokens(sketches: DataFrame, algorithm: str, k: int) -> DataFrame:
 
 def _by_shared_tokens(rows: DataFrame, model: SketchModel, similarity, k, threshold, two_sided):
     if model.name == "MinHash":
-        jaccard = threshold if similarity == "jaccard_similarity" else threshold / (2 - threshold)
-        lanes = max(1, math.ceil(jaccard * k - SLACK))
-        card, need = F.lit(k).cast("bigint"), F.lit(lanes).cast("bigint")
+        card, need = F.lit(k).cast("bigint"), F.lit(least_lanes(similarity, k, threshold)).cast("bigint")
     else:
         card = F.col("card")
         needs = long_array(least_shared(model.name, similarity, k, threshold))
@@ -87,7 +111,7 @@ def _by_shared_tokens(rows: DataFrame, model: SketchModel, similarity, k, thresh
 
 
 def _by_equal_runs(rows: DataFrame, k: int, threshold: float, two_sided: bool) -> DataFrame:
-    radius = min(k, math.floor(k * math.acos(max(-1.0, min(1.0, threshold))) / math.pi + SLACK))
+    radius = most_differing("cosine_similarity", k, threshold)
     n_runs = max(radius + 1, -(-k // RUN_BITS))
     if radius >= k:
         raise ValueError("this threshold keeps every pair of sign sketches")
