@@ -12,6 +12,7 @@ from bitfold.catalog.datasets import SEED, TRAIN_RATIO
 from bitfold.catalog.queries import (
     ERROR_CELLS, ERROR_THRESHOLDS, FIND_CELLS, FIND_THRESHOLDS, GRID_CELLS, GRID_THRESHOLDS, HAMMING_RADIUS,
     LOW_CELLS, LOW_QUERIES, LOW_THRESHOLDS, PARITY_RADIUS, SHARE, SHARE_THRESHOLDS, SIGN_CELLS, SIGN_GRID_THRESHOLDS, SIGN_RADIUS, SIGN_THRESHOLDS,
+    TOP,
 )
 from bitfold.functions.hashing import MASK32, MIX_FACTOR, PRIME31, seed_constant
 from bitfold.functions.lanes import GAUSS_SCALE
@@ -243,6 +244,11 @@ def _pair_query(sets: str, similarity: str, threshold: float) -> str:
 SELECT i, j, overlap, card_i, card_j, n_pairs, {r6('sim', 'sim')} FROM cp"""
 
 
+def _top_query(sets: str, similarity: str) -> str:
+    return f"""WITH {sets}, {class_pairs(similarity, 0.0)}
+SELECT i, j, overlap, card_i, card_j, n_pairs, {r6('s', 'sim')} FROM (SELECT *, sim AS s FROM cp ORDER BY sim DESC, i, j LIMIT {TOP})"""
+
+
 def _by_class(pairs: str, value: str, threshold: float, compared: str = ">=") -> str:
     return f"""SELECT rq.rep AS i, rt.rep AS j, count(*) AS n_pairs, {r6(value, value)}
 FROM {pairs} JOIN reps rq ON rq.doc_id = q JOIN reps rt ON rt.doc_id = t
@@ -530,6 +536,13 @@ steps(threshold) AS (VALUES {report_steps})
 SELECT threshold, count_if(sim >= threshold)::BIGINT AS n_at_least, {r6('count_if(sim >= threshold) * 100.0::DOUBLE / count(*)', 'pct')}
 FROM near CROSS JOIN steps GROUP BY threshold""",
         "max_similarity_sampled": f"{max_sim} SELECT {r6('max_sim', 'max_sim')} FROM top",
+        "max_similarity_exact": f"{bought}, {OVERLAPS} SELECT {r6('max(overlap)::DOUBLE', 'max_sim')} FROM common_items",
+        "thresholds_exact": f"""{bought}, {OVERLAPS}, ratios(ratio) AS (VALUES {ratios})
+SELECT ratio, {r6('ratio * m', 'threshold')} FROM (SELECT max(overlap)::DOUBLE AS m FROM common_items) CROSS JOIN ratios""",
+        "top_pairs_documents": _top_query(DOCUMENTS, "jaccard_similarity"),
+        "top_pairs_customers": _top_query(CUSTOMERS, "cosine_similarity"),
+        "histogram_documents": f"""WITH {DOCUMENTS}, {REPS}, {all_pairs('cosine_similarity')}
+SELECT round(sim, 12) AS sim, count(*) AS n_pairs FROM pair GROUP BY sim""",
         "thresholds_suggested": f"""{max_sim}, ratios(ratio) AS (VALUES {ratios})
 SELECT ratio, {r6('ratio * max_sim', 'threshold')} FROM top CROSS JOIN ratios""",
         "exp1_error_grid": _cells(grid, grid_cells, f"threshold, n_pairs, {r6('mse', 'score')} FROM errors"),

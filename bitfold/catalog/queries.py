@@ -20,6 +20,7 @@ from bitfold.operators.encode import (
     binarize, coordinate_export, dataset_summary, head_sample, preview, row_support, set_arrays, value_check,
 )
 from bitfold.operators.hamming import near_sets, near_sketches, neighbor_rows, sketch_classes
+from bitfold.operators.histogram import similarity_histogram
 from bitfold.operators.pairs import (
     exact_pairs, filter_by_threshold, filter_report, neighbor_counts, neighbors_by_threshold, sample_pairs,
 )
@@ -30,6 +31,7 @@ from bitfold.operators.retrieve import attach_sketches, estimated_neighbors
 from bitfold.operators.sketches import get_model
 from bitfold.operators.split import same_split, train_query_split
 from bitfold.operators.tiles import tiled_neighbors
+from bitfold.operators.top import max_similarity, top_pairs
 from bitfold.plans.accuracy import accuracy_grid, algorithm_accuracy
 from bitfold.plans.retrieval import query_outcomes, retrieval_grid, summarize
 from bitfold.plans.sampled import best_algorithms, sampled_errors
@@ -47,6 +49,7 @@ SIGN_CELLS = (("SimHash", 128),)
 HAMMING_RADIUS = 20
 SIGN_RADIUS = ("SimHash", 128, 12)
 PARITY_RADIUS = ("BCS", 1000, 20)
+TOP = 200
 COMPARISONS = ("ge", "gt", "le", "lt", "eq")
 SHARE = 0.025  # a Jaccard similarity that some pairs of customers have exactly
 SHARE_THRESHOLDS = [0.01, 0.025, 0.05, 0.2]
@@ -343,14 +346,22 @@ def filter_retrieval(spark, sf):
 
 
 def _all_customer_pairs(spark, sf):
-    """Pairs of customers that share a part, and the number of all pairs."""
+    """How often each similarity of customers that share a part occurs, and the number of all pairs."""
     n_rows = customer_sets(spark, sf).docs.agg(F.count("*").alias("n"))
-    return truth(spark, sf, "customers", JACCARD, 0.0), pair_universe(n_rows)
+
+    def build():
+        return materialize(similarity_histogram(classes(spark, sf, "customers"), JACCARD), "histogram")
+
+    return once(spark, sf, "customer-histogram", build), pair_universe(n_rows)
 
 
 def _all_query_train_pairs(spark, sf):
     sizes = split_classes(spark, sf, "customers").classes.agg((F.sum("n_left") * F.sum("n_right")).alias("n_pairs"))
-    return split_truth(spark, sf, "customers", JACCARD, 0.0, "gt"), sizes
+
+    def build():
+        return materialize(similarity_histogram(split_classes(spark, sf, "customers"), JACCARD, two_sided=True), "histogram")
+
+    return once(spark, sf, "query-train-histogram", build), sizes
 
 
 def _universe_reports(pairs, universe):
@@ -367,7 +378,7 @@ def filter_retrieval_reports(spark, sf):
 
 def _retrieval_filter_query(comparison):
     def query(spark, sf):
-        return rounded(retrieval_filter(_all_query_train_pairs(spark, sf)[0], SHARE, comparison))
+        return rounded(retrieval_filter(split_truth(spark, sf, "customers", JACCARD, 0.0, "gt"), SHARE, comparison))
 
     query.__name__ = f"filter_retrieval_{comparison}"
     return query
@@ -418,6 +429,27 @@ def max_similarity_sampled(spark, sf):
     return rounded(max_sampled_similarity(customer_sets(spark, sf), INNER, 1000, SEED))
 
 
+def max_similarity_exact(spark, sf):
+    return rounded(max_similarity(classes(spark, sf, "customers"), INNER))
+
+
+def thresholds_exact(spark, sf):
+    return rounded(suggested_thresholds(max_similarity(classes(spark, sf, "customers"), INNER)))
+
+
+def top_pairs_documents(spark, sf):
+    return rounded(top_pairs(classes(spark, sf, "documents"), JACCARD, TOP))
+
+
+def top_pairs_customers(spark, sf):
+    return rounded(top_pairs(classes(spark, sf, "customers"), COSINE, TOP))
+
+
+def histogram_documents(spark, sf):
+    # similarities are exact fractions: equal ones stay equal when they are rounded
+    return rounded(similarity_histogram(classes(spark, sf, "documents"), COSINE), 12)
+
+
 def thresholds_suggested(spark, sf):
     return rounded(suggested_thresholds(max_sampled_similarity(customer_sets(spark, sf), INNER, 1000, SEED)))
 
@@ -536,6 +568,7 @@ REGISTERED = (
     retrieval_grid_jaccard, retrieval_grid_cosine,
     hamming_pairs, hamming_pairs_queries, hamming_neighbors, hamming_sketch_pairs, hamming_sketch_pairs_bcs,
     hamming_sketch_pairs_queries, *query_train_low, retrieval_grid_low,
+    max_similarity_exact, thresholds_exact, top_pairs_documents, top_pairs_customers, histogram_documents,
 )
 
 
