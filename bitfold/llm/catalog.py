@@ -31,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_secret_scan": secrets.op2_sql(),
         "op3_exact_dedup": exact.OP3_SQL,
         "op11_importance_resampling": resampling.op11_sql(),
         "op13_spelling_variants": spelling.op13_sql(),
