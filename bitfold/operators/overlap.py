@@ -57,9 +57,10 @@ def prefix_index(rows: DataFrame, items: DataFrame) -> DataFrame:
 
     ``rows(doc_id, card, need, n_left, n_right)`` states how many features a set has to share
     at least with any partner.  Band sizes per set are map-side combined counts, so a huge set
-    costs no more than its bands.
+    costs no more than its bands.  Frequencies and last bands are written before they meet the items: joined
+    with a written table, the items of a feature that every row has, or of a huge row, can be split over tasks.
     """
-    df = items.groupBy("feature_id").agg(F.count("*").alias("df"))
+    df = materialize(items.groupBy("feature_id").agg(F.count("*").alias("df")), "frequencies")
     band = F.ceil(F.log2(F.col("df").cast("double")) * BANDS_PER_OCTAVE).cast("int").alias("band")
     banded = materialize(items.join(df, "feature_id").select("doc_id", "feature_id", band), "banded")
     frequent_first = (
@@ -77,6 +78,7 @@ def prefix_index(rows: DataFrame, items: DataFrame) -> DataFrame:
             F.coalesce(F.max(F.when(goes, F.col("so_far"))), F.lit(0).cast("bigint")).alias("dropped"),
         )
     )
+    kept = materialize(kept, "last-bands")
     shared = banded.where(F.col("band") > 0)  # band 0: features of a single set
     index = shared.join(kept, "doc_id").where(F.col("band") <= F.col("last_band"))
     return materialize(

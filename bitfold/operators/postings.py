@@ -6,10 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitfold.functions.hashing import hash32
+from bitfold.session import materialize
 
 BLOCK_ROWS = 2_048  # rows of one key that are held together
 
 
+def in_blocks(index: DataFrame, key: str, row_id: str, block_rows: int) -> DataFrame:
+    """``index`` with ``n_blocks`` of its key and its own ``block``.
+
+    The hot keys are written before they are joined: there is at most one for every ``block_rows`` rows, and
+    next to a written table Spark can broadcast it if it is small, or else split the rows of a hot key over tasks,
+    which it cannot do next to an aggregation by the same key.
+    """
+    hot = (
+        index.groupBy(key)
+        .agg(F.count("*").alias("n"))
+        .where(F.col("n") > block_rows)
+        .select(key, F.ceil(F.col("n") / F.lit(float(block_rows))).cast("int").alias("n_blocks"))
+    )
+    rows = index.join(materialize(hot, "hot-keys"), key, "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
+    return rows.withColumn("block", (hash32(F.col(row_id), 0, "block") % F.col("n_blocks")).cast("int"))
+
+
 def meet_on_key(
     index: DataFrame,
     key: str,
@@ -26,18 +44,10 @@ def meet_on_key(
     The rows of a key are cut into blocks by id hash; a key with up to ``block_rows`` rows is
     one block.  Each pair of blocks of a key is one grid cell: a row is sent to the cells of
     its own block, so cells are filled by one shuffle, hold about two blocks, and a hot key is
-    spread over as many tasks as it has cells.  Key sizes are a map-side combined count; the
-    table of hot keys is joined without a hint, so Spark broadcasts it only when small.
+    spread over as many tasks as it has cells.  Key sizes are a map-side combined count.
     """
     block_rows = block_rows or BLOCK_ROWS
-    hot = (
-        index.groupBy(key)
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") > block_rows)
-        .select(key, F.ceil(F.col("n") / F.lit(float(block_rows))).cast("int").alias("n_blocks"))
-    )
-    rows = index.join(hot, key, "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
-    rows = rows.withColumn("block", (hash32(F.col(row_id), 0, "block") % F.col("n_blocks")).cast("int"))
+    rows = in_blocks(index, key, row_id, block_rows)
     near = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
     row = F.struct(F.col(row_id), F.col("block"), *payload).alias("row")
     a_id, b_id = F.col(f"a.{row_id}"), F.col(f"b.{row_id}")

@@ -139,6 +139,41 @@ def test_hot_keys_spread_over_cells(spark):
     assert met.select("p", "q").distinct().count() > 10
 
 
+SPLIT_EARLY = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+}
+
+
+@pytest.fixture
+def early_splits(spark):
+    before = {k: spark.conf.get(k) for k in SPLIT_EARLY}
+    for k, v in SPLIT_EARLY.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def task_rows(df):
+    """Rows that each task of the last join puts out."""
+    counts = df.withColumn("part", F.spark_partition_id()).rdd.map(lambda r: (r["part"], 1)).reduceByKey(lambda a, b: a + b).values()
+    return sorted(counts.collect())
+
+
+def test_a_feature_of_every_row_fills_no_single_task(spark, early_splits):
+    n = 60_000
+    rest = spark.range(n).select((F.col("id") + 10).alias("feature_id"), F.col("id").alias("doc_id"))
+    index = spark.range(n).select(F.lit(1).cast("bigint").alias("feature_id"), F.col("id").alias("doc_id")).unionByName(rest).repartition(8)
+    found = postings.in_blocks(index, "feature_id", "doc_id", 2_048)
+    sizes = task_rows(found)
+    assert sum(sizes) == 2 * n and sizes[-1] <= 3 * sizes[len(sizes) // 2]
+    df = overlap.materialize(index.groupBy("feature_id").agg(F.count("*").alias("df")), "frequencies")
+    sizes = task_rows(index.join(df, "feature_id"))
+    assert sum(sizes) == 2 * n and sizes[-1] <= 3 * sizes[len(sizes) // 2]
+
+
 def test_split_sizes_are_exact(spark):
     docs = spark.range(103).withColumnRenamed("id", "doc_id")
     split = train_query_split(docs, 0.9, 42)
