@@ -11,7 +11,7 @@ import math
 from bitfold.catalog.datasets import SEED, TRAIN_RATIO
 from bitfold.catalog.queries import (
     ERROR_CELLS, ERROR_THRESHOLDS, FIND_CELLS, FIND_THRESHOLDS, GRID_CELLS, GRID_THRESHOLDS, HAMMING_RADIUS,
-    LOW_CELLS, LOW_QUERIES, LOW_THRESHOLDS, PARITY_RADIUS, SHARE, SHARE_THRESHOLDS, SIGN_CELLS, SIGN_GRID_THRESHOLDS, SIGN_RADIUS, SIGN_THRESHOLDS,
+    LANE_LENGTHS, LANE_THRESHOLDS, LOW_CELLS, LOW_QUERIES, LOW_THRESHOLDS, PARITY_RADIUS, SHARE, SHARE_THRESHOLDS, SIGN_CELLS, SIGN_GRID_THRESHOLDS, SIGN_RADIUS, SIGN_THRESHOLDS,
     TOP,
 )
 from bitfold.functions.hashing import MASK32, MIX_FACTOR, PRIME31, seed_constant
@@ -20,6 +20,7 @@ from bitfold.functions.scores import PERFECT_MINUS_LOG_MSE
 from bitfold.operators.encode import ENGLISH_STOP_WORDS, TOKEN_PATTERN
 from bitfold.operators.profile import REPORT_THRESHOLDS, SUGGESTED_RATIOS
 from bitfold.operators.sketches import MinHash, SimHash
+from bitfold.plans.accuracy import DEFAULT_LENGTHS
 
 TINY = 1e-10
 
@@ -547,6 +548,14 @@ SELECT round(sim, 12) AS sim, count(*) AS n_pairs FROM pair GROUP BY sim""",
 SELECT ratio, {r6('ratio * max_sim', 'threshold')} FROM top CROSS JOIN ratios""",
         "exp1_error_grid": _cells(grid, grid_cells, f"threshold, n_pairs, {r6('mse', 'score')} FROM errors"),
         "exp1_minus_log_mse": _cells(grid, grid_cells, f"threshold, n_pairs, {r6(_minus_log('mse'), 'score')} FROM errors"),
+        "exp1_default_lengths": _cells(
+            grid, [(a, k) for a in ("BinSketch", "BCS") for k in DEFAULT_LENGTHS], f"threshold, n_pairs, {r6('mse', 'score')} FROM errors"
+        ),
+        "exp1_lane_lengths": _cells(
+            _grid_body("cosine_similarity", min(LANE_THRESHOLDS), LANE_THRESHOLDS),
+            [(a, k) for a in ("MinHash", "SimHash") for k in LANE_LENGTHS], f"threshold, n_pairs, {r6('mse', 'score')} FROM errors",
+        ),
+        "retrieval_grid_lengths": _retrieval_grid_query("jaccard_similarity", GRID_THRESHOLDS, [("BCS", k) for k in LANE_LENGTHS]),
         "algorithm_errors": " UNION ALL ".join(
             f"SELECT * FROM (WITH {_grid_body('cosine_similarity', 0.3, [0.3])('SimHash', k)} SELECT {k}::BIGINT AS k, {r6('mse', 'score')} FROM errors)"
             for k in (128, 256)

@@ -32,7 +32,7 @@ from bitfold.operators.sketches import get_model
 from bitfold.operators.split import same_split, train_query_split
 from bitfold.operators.tiles import tiled_neighbors
 from bitfold.operators.top import max_similarity, top_pairs
-from bitfold.plans.accuracy import accuracy_grid, algorithm_accuracy
+from bitfold.plans.accuracy import DEFAULT_LENGTHS, accuracy_grid, algorithm_accuracy
 from bitfold.plans.retrieval import query_outcomes, retrieval_grid, summarize
 from bitfold.plans.sampled import best_algorithms, sampled_errors
 from bitfold.plans.truth import retrieval_filter
@@ -64,6 +64,8 @@ LOW_QUERIES = {
     "query_train_low_simhash": ("SimHash", "cosine_similarity", 0.1, 100),
     "query_train_hamming_binsketch": ("BinSketch", "hamming_distance", 20, 1000),
 }
+LANE_LENGTHS = (50, 63, 150)
+LANE_THRESHOLDS = [0.3, 0.6]
 GRID_CELLS = (("BinSketch", 500), ("BCS", 500), ("MinHash", 64))
 
 
@@ -475,6 +477,22 @@ def exp1_minus_log_mse(spark, sf):
     return rounded(_error_grid(spark, sf, "minus_log_mse"))
 
 
+def exp1_default_lengths(spark, sf):
+    """The whole default grid of lengths: sketches of an algorithm come from one pass over the items."""
+    sets, pairs = classes(spark, sf, "documents"), truth(spark, sf, "documents", JACCARD, min(ERROR_THRESHOLDS))
+    return rounded(accuracy_grid(sets, ["BinSketch", "BCS"], ERROR_THRESHOLDS, JACCARD, "mse", DEFAULT_LENGTHS, SEED, pairs))
+
+
+def exp1_lane_lengths(spark, sf):
+    sets, pairs = classes(spark, sf, "documents"), truth(spark, sf, "documents", COSINE, min(LANE_THRESHOLDS))
+    return rounded(accuracy_grid(sets, ["MinHash", "SimHash"], LANE_THRESHOLDS, COSINE, "mse", LANE_LENGTHS, SEED, pairs))
+
+
+def retrieval_grid_lengths(spark, sf):
+    sets, pairs = split_classes(spark, sf, "documents"), split_truth(spark, sf, "documents", JACCARD, min(GRID_THRESHOLDS))
+    return rounded(retrieval_grid(sets, ["BCS"], GRID_THRESHOLDS, JACCARD, "f1", LANE_LENGTHS, SEED, pairs))
+
+
 def algorithm_errors(spark, sf):
     pairs = truth(spark, sf, "documents", COSINE, 0.3)
     return rounded(algorithm_accuracy(
@@ -569,6 +587,7 @@ REGISTERED = (
     hamming_pairs, hamming_pairs_queries, hamming_neighbors, hamming_sketch_pairs, hamming_sketch_pairs_bcs,
     hamming_sketch_pairs_queries, *query_train_low, retrieval_grid_low,
     max_similarity_exact, thresholds_exact, top_pairs_documents, top_pairs_customers, histogram_documents,
+    exp1_default_lengths, exp1_lane_lengths, retrieval_grid_lengths,
 )
 
 

@@ -52,6 +52,32 @@ def packed_long(docs: DataFrame, bucketed: DataFrame, k: int, combine) -> DataFr
     return placed.select("doc_id", sketch.alias("sketch"))
 
 
+def packed_lengths(docs: DataFrame, bucketed: DataFrame, lengths, combine) -> DataFrame:
+    """``(k, doc_id, sketch)`` for several lengths at once, from ``bucketed(doc_id, key)``.
+
+    ``key`` is the number that is taken modulo each k.  An item gives one row per length to a map-side combined
+    aggregation by (length, row, word); rows without items get all-zero words.
+    """
+    lengths = sorted(set(lengths))
+    each = F.explode(F.array(*[F.lit(k).cast("bigint") for k in lengths])).alias("k")
+    tall = bucketed.select("doc_id", "key", each).withColumn("bucket", F.col("key") % F.col("k"))
+    word = F.floor(F.col("bucket") / WORD_BITS).alias("word")
+    words = tall.groupBy("k", "doc_id", word).agg(combine(bit_at(F.col("bucket"))).alias("bits"))
+    entry = F.struct("word", "bits").alias("entry")
+    nothing = F.lit(None).cast("struct<word:bigint,bits:bigint>").alias("entry")
+    rows = docs.select(each, "doc_id", nothing).unionByName(words.select("k", "doc_id", entry))
+    placed = rows.groupBy("k", "doc_id").agg(F.map_from_entries(F.collect_list("entry")).alias("m"))
+    last = F.ceil(F.col("k") / F.lit(WORD_BITS)).cast("bigint") - 1
+    zero = F.lit(0).cast("bigint")
+    sketch = F.transform(F.sequence(zero, last), lambda w: F.coalesce(F.try_element_at("m", w), zero))
+    return placed.select("k", "doc_id", sketch.alias("sketch"))
+
+
+def set_bits(words: Column) -> Column:
+    """Number of set bits of a sketch of any length."""
+    return _count_folded(words)
+
+
 def _total(terms: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, terms).cast("bigint")
 

@@ -159,16 +159,19 @@ def estimated_neighbors(
     threshold: float,
     k: int,
     two_sided: bool = True,
+    sketches: DataFrame | None = None,
 ) -> DataFrame:
     """Class pairs whose estimated similarity is at least ``threshold`` > 0.
 
-    Returns ``(i, j, n_i, n_j, n_pairs, est)``; see ``overlap.similar_pairs`` for the sides.
+    Returns ``(i, j, n_i, n_j, n_pairs, est)``; see ``overlap.similar_pairs`` for the sides.  ``sketches`` are
+    those of ``sets`` if they are written already.
     """
     require_thresholdable(similarity)
     get_estimator(model.name, similarity)
     if threshold <= 0:
         raise ValueError("a threshold that keeps disjoint pairs would list every pair")
-    sketches = materialize(model.mapping(sets.as_sets(), k), "sketches")
+    if sketches is None:
+        sketches = materialize(model.mapping(sets.as_sets(), k), "sketches")
     rows = sketches.join(sets.classes.select("doc_id", "n_left", "n_right"), "doc_id")
     if model.name == "SimHash":
         candidates = _by_equal_runs(rows, k, threshold, two_sided)

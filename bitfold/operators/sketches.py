@@ -15,12 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitfold.functions.bits import cardinality, n_words, packed, packed_long
+from bitfold.functions.bits import WORD_BITS, cardinality, n_words, packed, packed_lengths, packed_long, set_bits
 from bitfold.functions.estimators import get_estimator
 from bitfold.functions.hashing import PRIME31, hash32
 from bitfold.functions.lanes import draw_coefficients, gaussian_sums_udf, lane_minima_udf, pack_signs_udf
 from bitfold.operators.encode import BinarySets, set_arrays
 from bitfold.operators.ranking import hash_rank
+from bitfold.session import materialize, scratch_path
 
 DIRECT_WORDS = 16  # up to this many words one aggregation builds the whole sketch
 
@@ -41,6 +42,10 @@ class SketchModel:
     def mapping(self, sets: BinarySets, k: int) -> DataFrame:
         raise NotImplementedError
 
+    def mappings(self, sets: BinarySets, lengths) -> DataFrame:
+        """``(k, doc_id, sketch, card)``: the sketches ``mapping`` gives for each of several lengths, in one pass over the items."""
+        raise NotImplementedError
+
     def estimate(self, similarity: str, k: int, left: str = "a", right: str = "b") -> Column:
         """Estimate over a pair table holding ``{left,right}_sketch`` and ``_card``."""
         estimator = get_estimator(self.name, similarity)
@@ -50,6 +55,25 @@ class SketchModel:
         )
 
 
+def _bit_sketches(docs: DataFrame, keyed: DataFrame, lengths, combine) -> DataFrame:
+    sketch = packed_lengths(docs, keyed, lengths, combine)
+    return sketch.select("k", "doc_id", "sketch", set_bits(F.col("sketch")).alias("card"))
+
+
+def _by_length(longest: DataFrame, lengths, cut) -> DataFrame:
+    """``(k, doc_id, sketch)`` from ``longest(doc_id, sketch)``; ``cut(sketch, k)`` makes it shorter."""
+    each = F.explode(F.array(*[
+        F.struct(F.lit(k).cast("bigint").alias("k"), cut(F.col("sketch"), k).alias("sketch")) for k in sorted(set(lengths))
+    ]))
+    return longest.select("doc_id", each.alias("cut")).select("cut.k", "doc_id", "cut.sketch")
+
+
+def _first_bits(words: Column, k: int) -> Column:
+    last = n_words(k) - 1
+    mask = (1 << k - WORD_BITS * last) - 1
+    return F.concat(F.slice(words, 1, last), F.array(words[last].bitwiseAND(F.lit(mask).cast("bigint"))))
+
+
 def _bit_sketch(docs: DataFrame, bucketed: DataFrame, k: int, combine) -> DataFrame:
     if n_words(k) <= DIRECT_WORDS:
         rows = _with_empty_rows(docs, bucketed, "bucket", "bigint")
@@ -75,15 +99,26 @@ class BinSketch(SketchModel):
     def bucket_map(self, vocab: DataFrame, k: int) -> DataFrame:
         if self.external_map is not None:
             return self.external_map.select("feature_id", F.col("bucket").cast("bigint").alias("bucket"))
-        ranked = hash_rank(vocab.select("feature_id"), "feature_id", self.seed, "binsketch")
-        return ranked.select("feature_id", (F.col("rank") % k).alias("bucket"))
+        return self.ranks(vocab).select("feature_id", (F.col("rank") % k).alias("bucket"))
+
+    def ranks(self, vocab: DataFrame) -> DataFrame:
+        """Features in seeded-hash order; the rank modulo k is the bucket of every length."""
+        return hash_rank(vocab.select("feature_id"), "feature_id", self.seed, "binsketch").select("feature_id", "rank")
+
+    def _with_number(self, items: DataFrame, numbers: DataFrame, name: str) -> DataFrame:
+        found = items.join(numbers, "feature_id", "left")
+        missing = F.raise_error(F.concat(F.lit("no bucket for feature "), F.col("feature_id").cast("string"))).cast("bigint")
+        return found.withColumn(name, F.when(F.col(name).isNotNull(), F.col(name)).otherwise(missing))
 
     def mapping(self, sets: BinarySets, k: int) -> DataFrame:
         """Raises while it runs when an item's feature has no bucket."""
-        found = sets.items.join(self.bucket_map(sets.vocab, k), "feature_id", "left")
-        missing = F.raise_error(F.concat(F.lit("no bucket for feature "), F.col("feature_id").cast("string"))).cast("bigint")
-        bucketed = found.withColumn("bucket", F.when(F.col("bucket").isNotNull(), F.col("bucket")).otherwise(missing))
-        return _bit_sketch(sets.docs, bucketed, k, F.bit_or)
+        return _bit_sketch(sets.docs, self._with_number(sets.items, self.bucket_map(sets.vocab, k), "bucket"), k, F.bit_or)
+
+    def mappings(self, sets: BinarySets, lengths) -> DataFrame:
+        if self.external_map is not None:
+            raise ValueError("a given bucket map is for one length")
+        keyed = self._with_number(sets.items, self.ranks(sets.vocab).withColumnRenamed("rank", "key"), "key")
+        return _bit_sketches(sets.docs, keyed, lengths, F.bit_or)
 
 
 class BinaryCompressionSchema(SketchModel):
@@ -101,6 +136,10 @@ class BinaryCompressionSchema(SketchModel):
         bucketed = sets.items.select("doc_id", self.bucket(F.col("feature_id"), k).alias("bucket"))
         return _bit_sketch(sets.docs, bucketed, k, F.bit_xor)
 
+    def mappings(self, sets: BinarySets, lengths) -> DataFrame:
+        keyed = sets.items.select("doc_id", hash32(F.col("feature_id"), self.seed, "bcs").alias("key"))
+        return _bit_sketches(sets.docs, keyed, lengths, F.bit_xor)
+
 
 def _merge_parts(docs: DataFrame, parts: DataFrame, k: int, merge) -> DataFrame:
     """Combine the partial lane arrays of each row; rows without items get k zeros.
@@ -127,14 +166,22 @@ class MinHash(SketchModel):
     def coefficients(self, k: int) -> list[list[int]]:
         return draw_coefficients(self.seed, k, 2)
 
-    def mapping(self, sets: BinarySets, k: int) -> DataFrame:
+    def lanes(self, sets: BinarySets, k: int) -> DataFrame:
         minima = lane_minima_udf(self.coefficients(k))
         parts = set_arrays(sets.items).select("doc_id", "several", minima("features").alias("part"))
-        lanes = _merge_parts(sets.docs, parts, k, F.min)
-        return lanes.select(
+        return _merge_parts(sets.docs, parts, k, F.min)
+
+    def mapping(self, sets: BinarySets, k: int) -> DataFrame:
+        return self.lanes(sets, k).select(
             "doc_id", F.col("lanes").alias("sketch"), F.lit(None).cast("bigint").alias("card")
         )
 
+    def mappings(self, sets: BinarySets, lengths) -> DataFrame:
+        """Coefficients are drawn lane by lane, so a shorter signature is the beginning of a longer one."""
+        longest = self.lanes(sets, max(lengths)).withColumnRenamed("lanes", "sketch")
+        cut = _by_length(longest, lengths, lambda lanes, k: F.slice(lanes, 1, k))
+        return cut.withColumn("card", F.lit(None).cast("bigint"))
+
 
 class SimHash(SketchModel):
     """Signs of k random Gaussian projections.
@@ -153,14 +200,33 @@ class SimHash(SketchModel):
     def feature_hash(self, feature: Column) -> Column:
         return hash32(feature, self.seed, "simhash") % PRIME31
 
-    def mapping(self, sets: BinarySets, k: int) -> DataFrame:
+    def lanes(self, sets: BinarySets, k: int) -> DataFrame:
         sums = gaussian_sums_udf(self.coefficients(k), k)
         hashed = set_arrays(sets.items, self.feature_hash(F.col("feature_id")))
         parts = hashed.select("doc_id", "several", sums("features").alias("part"))
-        lanes = _merge_parts(sets.docs, parts, k, F.sum)
-        signed = lanes.select("doc_id", pack_signs_udf("lanes").alias("sketch"))
+        return _merge_parts(sets.docs, parts, k, F.sum)
+
+    def mapping(self, sets: BinarySets, k: int) -> DataFrame:
+        signed = self.lanes(sets, k).select("doc_id", pack_signs_udf("lanes").alias("sketch"))
         return signed.select("doc_id", "sketch", cardinality(F.col("sketch"), k).alias("card"))
 
+    def mappings(self, sets: BinarySets, lengths) -> DataFrame:
+        """Projections are drawn lane by lane, so a shorter sketch is the first bits of a longer one."""
+        longest = self.lanes(sets, max(lengths)).select("doc_id", pack_signs_udf("lanes").alias("sketch"))
+        return _by_length(longest, lengths, _first_bits).withColumn("card", set_bits(F.col("sketch")))
+
+
+def sketches_by_length(model: SketchModel, sets: BinarySets, lengths) -> dict[int, DataFrame]:
+    """The written sketches of each length; several lengths are made in one pass and written once, one folder each."""
+    lengths = sorted(set(lengths))
+    if len(lengths) == 1:
+        return {lengths[0]: materialize(model.mapping(sets, lengths[0]), "sketches")}
+    path = scratch_path(sets.docs.sparkSession, "sketches")
+    every = model.mappings(sets, lengths)
+    every.write.partitionBy("k").parquet(path)
+    schema = every.drop("k").schema
+    return {k: sets.docs.sparkSession.read.schema(schema).parquet(f"{path}/k={k}") for k in lengths}
+
 
 MODELS: dict[str, type[SketchModel]] = {
     m.name: m for m in (BinSketch, BinaryCompressionSchema, MinHash, SimHash)

@@ -180,8 +180,9 @@ def tile_cells(rows: DataFrame, test: PairTest, two_sided: bool, tile_rows: int
     return parts[1].unionByName(parts[0])
 
 
-def sketch_rows(model: SketchModel, sets: SetClasses, k: int) -> DataFrame:
-    sketches = model.mapping(sets.as_sets(), k).withColumn("card", F.coalesce("card", F.lit(0).cast("bigint")))
+def sketch_rows(model: SketchModel, sets: SetClasses, k: int, sketches: DataFrame | None = None) -> DataFrame:
+    sketches = model.mapping(sets.as_sets(), k) if sketches is None else sketches
+    sketches = sketches.withColumn("card", F.coalesce("card", F.lit(0).cast("bigint")))
     return materialize(sketches.join(sets.classes.select("doc_id", "n_left", "n_right"), "doc_id"), "sketches")
 
 
@@ -200,17 +201,18 @@ def compared_pairs(model: SketchModel, sets: SetClasses, similarity: str, thresh
 
 
 def tiled_neighbors(model: SketchModel, sets: SetClasses, similarity: str, threshold: float, k: int,
-                    two_sided: bool = True, tile_rows: int | None = None) -> DataFrame:
+                    two_sided: bool = True, sketches: DataFrame | None = None, tile_rows: int | None = None) -> DataFrame:
     """Class pairs whose estimate is at least ``threshold`` > 0, or a Hamming distance of at most ``threshold``.
 
-    Returns ``(i, j, n_i, n_j, n_pairs, est)`` as ``estimated_neighbors`` does.
+    Returns ``(i, j, n_i, n_j, n_pairs, est)`` as ``estimated_neighbors`` does; ``sketches`` are those of ``sets``
+    if they are written already.
     """
     counted = get_counted_estimator(model.name, similarity)
     upper = similarity == "hamming_distance"
     if threshold < 0 or (threshold == 0 and not upper):
         raise ValueError("a threshold that keeps disjoint pairs would list every pair")
     test = PairTest(model.name, similarity, k, threshold)
-    rows = sketch_rows(model, sets, k)
+    rows = sketch_rows(model, sets, k, sketches)
     # cells are small but long to compare: as many tasks as there are configured slots, however few bytes they are
     slots = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = tile_cells(rows, test, two_sided, tile_rows).repartition(slots, "p", "q")

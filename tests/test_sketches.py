@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from bitfold.functions import bits as bit_functions
 from bitfold.operators import encode, ranking, sketches
-from bitfold.operators.sketches import BinSketch, get_model
+from bitfold.operators.sketches import BinSketch, get_model, sketches_by_length
 from tests.brute import bits
 
 
@@ -131,3 +131,22 @@ def test_minhash_takes_ids_beyond_31_bits(make_sets):
 def test_binsketch_refuses_features_without_bucket(make_sets):
     with pytest.raises(Exception, match="no bucket"):
         get_model("BinSketch").mapping(make_sets({0: {1, 99}}, 10), 5).collect()
+
+
+@pytest.mark.parametrize("algorithm", ["BinSketch", "BCS", "MinHash", "SimHash"])
+def test_sketches_of_several_lengths_equal_those_of_each(make_sets, random_rows, algorithm):
+    sets, model = make_sets(random_rows(n=30), 150), get_model(algorithm)
+    lengths = (7, 63, 64, 130, 63)
+    made = sketches_by_length(model, sets, lengths)
+    assert list(made) == [7, 63, 64, 130]
+    for k, table in made.items():
+        one = {r["doc_id"]: (list(r["sketch"]), r["card"]) for r in model.mapping(sets, k).collect()}
+        assert {r["doc_id"]: (list(r["sketch"]), r["card"]) for r in table.collect()} == one
+
+
+def test_several_lengths_read_the_items_once(make_sets, random_rows):
+    sets = make_sets(random_rows(n=30), 150)
+    plan = get_model("BCS").mappings(sets, (100, 500, 1000))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 2  # the rows and their items
+    with pytest.raises(ValueError):
+        BinSketch(bucket_map=sets.vocab).mappings(sets, (5, 6))
