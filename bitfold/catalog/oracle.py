@@ -493,6 +493,7 @@ SELECT bucket, count(*) AS n_features, sum(feature_id)::BIGINT AS feature_sum FR
         "minhash_estimates": _estimate_query("MinHash", 64, ["jaccard_similarity", "cosine_similarity"]),
         "simhash_estimates": _estimate_query("SimHash", 128, ["hamming_distance", "cosine_similarity"]),
         "exact_jaccard": _pair_query(DOCUMENTS, "jaccard_similarity", 0.1),
+        "truth_after_append": _pair_query(DOCUMENTS, "jaccard_similarity", 0.1),
         "exact_cosine": _pair_query(DOCUMENTS, "cosine_similarity", 0.3),
         "exact_inner_product": _pair_query(CUSTOMERS, "inner_product", 2),
         "exact_hamming": f"{truth} SELECT i, j, n_pairs, (card_i + card_j - 2 * overlap)::DOUBLE AS hamming_distance FROM cp",

@@ -16,11 +16,13 @@ from bitfold.catalog.datasets import (
 )
 from bitfold.functions.estimators import sparsity
 from bitfold.functions.similarity import exact_similarity
+from bitfold.operators.classes import collapse_copies
 from bitfold.operators.encode import (
-    binarize, coordinate_export, dataset_summary, head_sample, preview, row_support, set_arrays, value_check,
+    BinarySets, binarize, coordinate_export, dataset_summary, head_sample, preview, row_support, set_arrays, value_check,
 )
 from bitfold.operators.hamming import near_sets, near_sketches, neighbor_rows, sketch_classes
 from bitfold.operators.histogram import similarity_histogram
+from bitfold.operators.overlap import similar_pairs
 from bitfold.operators.pairs import (
     exact_pairs, filter_by_threshold, filter_report, neighbor_counts, neighbors_by_threshold, sample_pairs,
 )
@@ -33,6 +35,7 @@ from bitfold.operators.split import same_split, train_query_split
 from bitfold.operators.tiles import tiled_neighbors
 from bitfold.operators.top import max_similarity, top_pairs
 from bitfold.plans.accuracy import DEFAULT_LENGTHS, accuracy_grid, algorithm_accuracy
+from bitfold.plans.growing import extended_truth
 from bitfold.plans.retrieval import query_outcomes, retrieval_grid, summarize
 from bitfold.plans.sampled import best_algorithms, sampled_errors
 from bitfold.plans.truth import retrieval_filter
@@ -222,6 +225,15 @@ def exact_jaccard(spark, sf):
     return _pair_columns(truth(spark, sf, "documents", JACCARD, 0.1))
 
 
+def truth_after_append(spark, sf):
+    """The truth of all documents, from that of the training rows and a comparison of the added ones."""
+    sets = document_sets(spark, sf)
+    first = train_query_split(sets.docs, TRAIN_RATIO, SEED).where("side = 'train'").select("doc_id")
+    before = collapse_copies(BinarySets(first, sets.items.join(first, "doc_id", "left_semi"), sets.vocab))
+    saved = materialize(similar_pairs(before, JACCARD, 0.1, "gt"), "truth")
+    return _pair_columns(extended_truth(classes(spark, sf, "documents"), saved, before.shapes, JACCARD, 0.1))
+
+
 def exact_cosine(spark, sf):
     return _pair_columns(truth(spark, sf, "documents", COSINE, 0.3))
 
@@ -587,7 +599,7 @@ REGISTERED = (
     hamming_pairs, hamming_pairs_queries, hamming_neighbors, hamming_sketch_pairs, hamming_sketch_pairs_bcs,
     hamming_sketch_pairs_queries, *query_train_low, retrieval_grid_low,
     max_similarity_exact, thresholds_exact, top_pairs_documents, top_pairs_customers, histogram_documents,
-    exp1_default_lengths, exp1_lane_lengths, retrieval_grid_lengths,
+    exp1_default_lengths, exp1_lane_lengths, retrieval_grid_lengths, truth_after_append,
 )
 
 

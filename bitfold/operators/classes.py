@@ -24,13 +24,15 @@ class SetClasses:
 
     ``doc_id`` is the smallest member id.  ``n_left``/``n_right`` count the members of each
     side (both are the class size when a table is compared with itself).
-    ``members(doc_id, class_id)`` maps rows to classes.
+    ``members(doc_id, class_id)`` maps rows to classes, ``shapes(doc_id, card, f1, f2, f3)`` classes to the
+    fingerprint of their set.
     """
 
     classes: DataFrame
     items: DataFrame
     vocab: DataFrame
     members: DataFrame
+    shapes: DataFrame | None = None
 
     def as_sets(self) -> BinarySets:
         return BinarySets(self.classes.select("doc_id"), self.items, self.vocab)
@@ -73,6 +75,7 @@ def collapse_copies(sets: BinarySets, sides: DataFrame | None = None) -> SetClas
     classes = grouped.select(F.col("class_id").alias("doc_id"), "card", "n_left", "n_right")
     items = sets.items.join(classes.select("doc_id"), "doc_id", "left_semi")
     members = prints.select("doc_id", *shape).join(grouped.select("class_id", *shape), shape)
+    shapes = grouped.select(F.col("class_id").alias("doc_id"), *shape)
     return SetClasses(
-        classes, materialize(items, "class-items"), sets.vocab, members.select("doc_id", "class_id")
+        classes, materialize(items, "class-items"), sets.vocab, members.select("doc_id", "class_id"), shapes
     )
