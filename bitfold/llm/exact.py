@@ -6,13 +6,14 @@ numbered in turn, halving every document's sequence, until one name is left.  Na
 comparing the content itself: two documents end with the same name of the same level exactly
 when their normalised texts are equal.  No hash stands for a text.
 
-Distinct blocks and pairs are found by map-side combined aggregation, and names return to
-positions through a sort-merge join of small rows, whose hot keys are split; so a text with very
+Distinct blocks and pairs are found by map-side combined aggregation, and names and groups return to
+their rows through sort-merge joins with written tables, whose hot keys are split; so a text with very
 many copies loads no single task.
 
 Defined results: null counts as the empty text, which is one empty block.  Rows that agree in
-doc_id and text are one row of the result; rows with one doc_id and different texts are
-different documents.  Other columns are ignored by ``group_copies`` and kept by ``keep_first``.
+doc_id and text go through the naming once, count as often as they occur and are as many rows of the result;
+rows with one doc_id and different texts are different documents.  Other columns, whatever their names, are
+ignored by ``group_copies`` and kept by ``keep_first``, which keeps one row of each group.
 """
 
 from __future__ import annotations
@@ -113,33 +114,51 @@ def mark_of(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), F.col("doc_id").isNull())
 
 
-def group_copies(documents: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``(doc_id, mark, keep_id, group_size, kept, text_sha256)`` for every document.
-
-    Of equal normalised texts the longest original stays, then the smallest doc_id (null first).
-    """
+def judged_identities(documents: DataFrame, text: str, block_bytes: int) -> DataFrame:
+    """``(doc_id, mark, keep_id, group_size, kept, text_sha256, n_rows)``: rows that agree in doc_id and text once."""
     read = documents.select(
-        F.col("doc_id").alias("own_id"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), mark_of(F.col(text)).alias("mark"),
-        F.char_length(F.coalesce(text, F.lit(""))).alias("n"), normalised(F.col(text)).alias("norm"),
+        F.col("doc_id").alias("own_id"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), mark_of(F.col(f"`{text}`")).alias("mark"),
+        F.char_length(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("n"), normalised(F.col(f"`{text}`")).alias("norm"),
     )
-    facts = read.select("doc_id", "mark", "own_id", "n", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")).distinct()
+    facts = read.select("doc_id", "mark", "own_id", "n", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"))
+    facts = facts.groupBy(*facts.columns).agg(F.count("*").alias("n_rows"))
     names = name_texts(read.select("doc_id", "mark", "norm"), block_bytes)
     rows = materialize(facts.join(names, ["doc_id", "mark"]).drop("doc_id"), "identities")
     first = F.min(F.struct((-F.col("n")).alias("n"), "own_id", "mark"))
-    groups = rows.groupBy("level", "name").agg(first.alias("first"), F.count("*").alias("group_size"))
+    # written first: next to a written table the rows of a large group can be split over tasks
+    groups = materialize(rows.groupBy("level", "name").agg(first.alias("first"), F.sum("n_rows").alias("group_size")), "groups")
     stays = F.col("first.own_id").eqNullSafe(F.col("own_id")) & (F.col("first.mark") == F.col("mark"))
-    return rows.join(groups, ["level", "name"]).select(
-        F.col("own_id").alias("doc_id"), "mark", F.col("first.own_id").alias("keep_id"), "group_size", stays.alias("kept"), "text_sha256"
+    return rows.join(groups.hint("merge"), ["level", "name"]).select(
+        F.col("own_id").alias("doc_id"), "mark", F.col("first.own_id").alias("keep_id"), "group_size", stays.alias("kept"), "text_sha256", "n_rows"
     )
 
 
-def keep_first(documents: DataFrame, text: str = "text") -> DataFrame:
-    """``documents`` without dropped copies; repeated rows of those kept stay."""
-    dropped = group_copies(documents, text).where(~F.col("kept")).select(
-        F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (mark_of(F.col(text)) == F.col("_mark"))
-    return documents.join(dropped, same, "left_anti")
+def group_copies(documents: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``(doc_id, mark, keep_id, group_size, kept, text_sha256)`` for every row of ``documents``.
+
+    Of equal normalised texts the longest original stays, then the smallest doc_id (null first); ``kept`` is
+    the same for rows that agree in doc_id and text.
+    """
+    judged = judged_identities(documents, text, block_bytes)
+    nth = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_rows")))
+    return judged.withColumn("n_rows", nth).drop("n_rows")
+
+
+def keep_first(documents: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row of ``documents`` for each group of equal texts; of rows that agree in doc_id and text the smallest by all columns."""
+    judged = materialize(judged_identities(documents, text, block_bytes).select("doc_id", "mark", "kept", "n_rows"), "judged")
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "doc_id", mark_of(F.col(f"`{text}`")).alias("mark"))
+
+    def having(keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias("id"), F.col("mark").alias("of"))
+        return rows.join(keys, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("of")), how)
+
+    several = judged.where(F.col("kept") & (F.col("n_rows") > 1))
+    if several.isEmpty():
+        return having(judged.where(~F.col("kept")), "left_anti").select("row.*")
+    single = having(judged.where(~F.col("kept") | (F.col("n_rows") > 1)), "left_anti").select("row")
+    one = having(several, "left_semi").groupBy("doc_id", "mark").agg(F.min("row").alias("row"))
+    return single.unionByName(one.select("row")).select("row.*")
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -14,8 +14,8 @@ bucket still holds apart - those pairs completely.  Documents with equal sets ar
 the start.  Buckets, links and components are tables; nothing of them reaches the driver.
 
 Sets are compared as 64-bit shingle hashes.  Defined results: a null text or one without words has
-an empty set and is linked with nothing.  Rows that share a doc_id count as linked, and equal
-repeated rows are one row of the result.  Rows without doc_id have no component and are kept.
+an empty set and is linked with nothing.  Rows that share a doc_id count as linked; repeated rows are
+as many rows of the result.  Rows without doc_id have no component and are kept.
 Other columns are ignored by ``near_copies`` and kept by ``keep_smallest``.
 """
 
@@ -131,7 +131,8 @@ def labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
         found = components(links).select(F.col("node"), F.col("component").alias("_c"))
         rows = members.join(found, "node", "left").withColumn("component", F.coalesce("_c", "node")).drop("_c")
     apart = rows.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where(F.col("a") < F.col("b"))
-    return materialize(rows.join(apart.select("band").hint("merge"), "band", "left_semi"), "buckets")
+    apart = materialize(apart.select("band"), "apart")  # written: see near_copies
+    return materialize(rows.join(apart.hint("merge"), "band", "left_semi"), "buckets")
 
 
 def hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
@@ -142,12 +143,12 @@ def hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
     each other.  In later turns hubs are hash-chosen.  A member takes the best hub of its buckets.
     """
     if turn == 0:
-        sizes = rows.groupBy("band").agg(F.count("*").alias("size"))
+        sizes = materialize(rows.groupBy("band").agg(F.count("*").alias("size")), "sizes")
         company = rows.join(sizes.hint("merge"), "band").groupBy("node").agg((-F.sum("size")).alias("order"))
         rows = rows.join(company.hint("merge"), "node")
     else:
         rows = rows.withColumn("order", F.xxhash64("node", F.lit(turn)))
-    hubs = rows.groupBy("band").agg(F.min(F.struct("order", "node", "n", "component")).alias("hub"))
+    hubs = materialize(rows.groupBy("band").agg(F.min(F.struct("order", "node", "n", "component")).alias("hub")), "hubs")
     met = rows.join(hubs.hint("merge"), "band").where(F.col("component") != F.col("hub.component"))
     best = met.groupBy("node", "n").agg(F.min("hub").alias("hub"))
     return best.select(F.col("hub.node").alias("i"), F.col("node").alias("j"), F.col("hub.n").alias("n_i"), F.col("n").alias("n_j"))
@@ -192,6 +193,7 @@ def crossing_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     task holds more than two blocks, whatever the bucket's size, and only links leave a cell.
     """
     sizes = rows.groupBy("band").agg(F.ceil(F.count("*") / F.lit(float(BLOCK_ROWS))).cast("int").alias("blocks"))
+    sizes = materialize(sizes, "blocks")
     placed = rows.join(sizes.hint("merge"), "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = spread.select("band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "node", "component", "block")
@@ -238,7 +240,9 @@ def near_copies(
     own = named.select("key1", "key2", F.col("doc_id").alias("node"), "bands").join(classes, ["key1", "key2", "node"])
     places = own.select("node", "n", F.explode("bands").alias("band"))
     met = places.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("b")).where(F.col("a") < F.col("b"))
-    members = materialize(places.join(met.select("band").hint("merge"), "band", "left_semi").distinct(), "members")
+    # tables of one row per band are written before they are joined: the members of a hot band can then be split over tasks
+    met = materialize(met.select("band"), "met")
+    members = materialize(places.join(met.hint("merge"), "band", "left_semi").distinct(), "members")
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     texts = read.join(wanted.hint("merge"), "doc_id", "left_semi")
     sets = materialize(
@@ -246,7 +250,7 @@ def near_copies(
         .where(F.size("shingles") > 0), "sets",
     )
     links = linked(members, sets, percent, hub_rounds)
-    slim = sketches.select("doc_id", "n_shingles", "key1", "key2").distinct()
+    slim = sketches.select("doc_id", "n_shingles", "key1", "key2")
     full = slim.join(classes.select("key1", "key2", "node").hint("merge"), ["key1", "key2"], "left")
     if links is None:
         full = full.withColumn("_c", F.lit(None).cast("bigint"))

@@ -143,7 +143,24 @@ def test_exact_repeated_rows_and_shared_ids(spark):
     rows = [(1, "a b"), (1, "a b"), (1, "c"), (2, "ab"), (None, "c")]
     out = exact.group_copies(spark.createDataFrame(rows, "doc_id bigint, text string"))
     found = sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["kept"]) for r in out.collect())
-    assert found == [("1", "1", 2, True), ("1", "None", 2, False), ("2", "1", 2, False), ("None", "None", 2, True)]
+    assert found == [("1", "1", 3, True), ("1", "1", 3, True), ("1", "None", 2, False), ("2", "1", 3, False), ("None", "None", 2, True)]
+
+
+def test_exact_keeps_one_row_of_each_group(spark):
+    rows = [(1, "a b", "x"), (1, "a b", "w"), (1, "c", "x"), (2, "ab", "x"), (None, "c", "y"), (7, "d", "z"), (8, None, "n"), (9, " ", "n"), (9, " ", "n")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, _mark string").withColumns({c: F.lit(c) for c in ("id", "of", "row", "mark", "_id")})
+    out = exact.keep_first(frame.repartition(3))
+    assert out.columns == frame.columns
+    found = sorted((str(r["doc_id"]), r["text"], r["_mark"], r["id"], r["row"]) for r in out.collect())
+    assert found == [("1", "a b", "w", "id", "row"), ("7", "d", "z", "id", "row"), ("9", " ", "n", "id", "row"), ("None", "c", "y", "id", "row")]
+    assert sorted(r["doc_id"] for r in exact.keep_first(frame.where("doc_id > 1 and doc_id < 9")).collect()) == [2, 7, 8]
+
+
+def test_tables_of_one_row_per_group_are_written_before_they_are_joined(spark, documents):
+    """An aggregation by the key of its own join cannot be split from the rows it meets."""
+    plan = exact.group_copies(documents.select("doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
+    last = plan[plan.index("SortMergeJoin") :]
+    assert last.count("Exchange hashpartitioning(level") == 2 and "Aggregate" not in last
 
 
 # --- URLs
@@ -404,7 +421,7 @@ def test_near_groups_with_nulls_and_repeats(spark):
     rows = [(3, text), (3, text), (1, text.upper()), (None, text), (7, None), (8, "")]
     out = nearcopies.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in out) == [
-        ("1", "1", True), ("3", "1", False), ("7", "7", True), ("8", "8", True), ("None", "None", True)
+        ("1", "1", True), ("3", "1", False), ("3", "1", False), ("7", "7", True), ("8", "8", True), ("None", "None", True)
     ]
     kept = nearcopies.keep_smallest(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "7", "8", "None"]
