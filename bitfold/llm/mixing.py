@@ -17,7 +17,7 @@ and runs earliest deadline first over the blocks, not the documents; the slots a
 of bounded size.
 
 Defined results: a null source is a source of its own.  Rows are numbered by (hash of doc_id, doc_id,
-hash of the other columns); rows that agree in all of these are placed next to each other.  Other columns stay;
+hash of the row); rows that agree in all of these are placed next to each other.  Other columns stay;
 columns named like the results are replaced.  An empty table gives an empty schedule.
 """
 
@@ -57,14 +57,14 @@ def shares(counts: dict, weights: dict | None, slots: int | None = None) -> dict
 
 
 def ranked(documents: DataFrame, n_rows: int, bin_rows: int) -> DataFrame:
-    """``documents`` with ``source_rank``: 0.. inside each source, in hash order.
+    """``documents(row, doc_id, source)`` with ``source_rank``: 0.. inside each source, in hash order.
 
     Hash bins are numbered separately and shifted by the sizes of the bins before them.
     """
     n_bins = max(1, math.ceil(n_rows / bin_rows))
     spot = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 40))
     placed = documents.withColumns(
-        {"_spot": spot, "_tie": F.xxhash64(*sorted(set(documents.columns) - {"doc_id", "source"})) if len(documents.columns) > 2 else F.lit(0)}
+        {"_spot": spot, "_tie": F.xxhash64("row")}
     ).withColumn("_bin", F.floor(F.col("_spot") * F.lit(n_bins) / F.lit(1 << 40)).cast("int"))
     before = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("source", "_bin").count().select(
@@ -164,19 +164,21 @@ def place(
     documents: DataFrame, weights: dict | None = None, slots: int | None = None, block_rows: int = BLOCK_ROWS, bin_rows: int = BIN_ROWS
 ) -> DataFrame:
     """``documents(doc_id, source, ...)`` with their rank in the source, block, window and slot."""
-    slim = documents.drop(*RESULTS)
+    kept = [F.col(f"`{c}`") for c in documents.columns if c not in RESULTS]
+    # all columns travel in a struct, so none of their names can meet a working name
+    slim = documents.select(F.struct(*kept).alias("row"), "doc_id", "source")
     # one row per source
     counts = {r["source"]: r["count"] for r in slim.groupBy("source").count().collect()}
     if not counts:
-        return slim.withColumns({c: F.lit(None).cast("bigint") for c in RESULTS})
+        return slim.select("row.*", *[F.lit(None).cast("bigint").alias(c) for c in RESULTS])
     share = shares(counts, weights, slots)
     totals = sorted(((s, -(-n // block_rows), share[s]) for s, n in counts.items()), key=lambda x: (x[0] is None, str(x[0])))
     rank = ranked(slim, sum(counts.values()), bin_rows)
     rank = rank.withColumn("block", F.floor(F.col("source_rank") / F.lit(block_rows)).cast("bigint"))
     plan = schedule(totals, documents.sparkSession, documents.schema["source"].dataType)
     plan = plan.withColumnRenamed("source", "_source").withColumnRenamed("block", "_block")
-    both = F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block"))
-    return rank.join(plan, both).drop("_source", "_block")
+    both = F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_at"))
+    return rank.join(plan.withColumnRenamed("_block", "_at"), both).select("row.*", *RESULTS)
 
 
 def mixed(documents: DataFrame, weights: dict | None = None, **limits) -> DataFrame:
@@ -184,16 +186,16 @@ def mixed(documents: DataFrame, weights: dict | None = None, **limits) -> DataFr
 
     Places are found without the texts and written; the texts move to their place afterwards.
     """
-    mark = F.xxhash64(F.col("text"))
-    rows = place(documents.select("doc_id", "source", mark.alias("_mark")), weights, **limits)
-    key = ["doc_id", "source", "_mark"]
-    spots = materialize(rows.groupBy(*key).agg(F.min("slot").alias("_slot"), F.min("source_rank").alias("_rank")), "places")
-    spots = spots.select(*[F.col(c).alias(f"_at_{c}") for c in key], "_slot", "_rank")
+    mark = F.xxhash64(F.col("text")).alias("mark")
+    key = ["doc_id", "source", "mark"]
+    rows = place(documents.select("doc_id", "source", mark), weights, **limits)
+    spots = materialize(rows.groupBy(*key).agg(F.min("slot").alias("slot"), F.min("source_rank").alias("rank")), "places")
+    spots = spots.select(*[F.col(c).alias(f"at_{c}") for c in key], "slot", "rank")
     same = F.lit(True)
     for c in key:
-        same = same & F.col(c).eqNullSafe(F.col(f"_at_{c}"))
-    put = documents.withColumn("_mark", mark).join(spots.hint("merge"), same)
-    return put.orderBy("_slot", "_rank").select(*[F.col(f"`{c}`") for c in documents.columns])
+        same = same & F.col(c).eqNullSafe(F.col(f"at_{c}"))
+    put = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "doc_id", "source", mark)
+    return put.join(spots.hint("merge"), same).orderBy("slot", "rank").select("row.*")
 
 
 def op5_source_mixing(spark, sf_dir: str) -> DataFrame:

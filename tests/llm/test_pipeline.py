@@ -1,10 +1,13 @@
 """The pipeline's stages on the smallest documents, held against plain versions."""
 
+from collections import Counter
+
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
 import corpus_pipeline
-from bitfold.llm import pieces
+from bitfold.llm import mixing, pieces
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -12,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_queries_are_registered():
     names = registered.queries().keys()
-    assert {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} <= {n.split("_")[0] for n in names} and "pipeline" in names
     assert [name for name, _ in corpus_pipeline.STAGES][0] == "language_id" and len(corpus_pipeline.STAGES) == 5
 
 
@@ -46,3 +49,37 @@ def test_mixing_stage_orders_files(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     mixed = corpus_pipeline.in_target_mix(spark, docs, SF)
     assert mixed.columns == docs.columns and mixed.count() == docs.count()
+
+
+def test_slots_follow_the_target_weights(spark):
+    out = corpus_pipeline.run(spark, SF).select("doc_id", "source", "source_rank", "slot").collect()
+    sizes = Counter(r["source"] for r in out)
+    share = mixing.shares(sizes, None)
+    slots = {}
+    for r in out:
+        assert slots.setdefault((r["source"], r["source_rank"] // mixing.BLOCK_ROWS), r["slot"]) == r["slot"]
+    assert sorted(slots.values()) == list(range(len(slots)))
+    blocks = {s: -(-n // mixing.BLOCK_ROWS) for s, n in sizes.items()}
+    until = int(min(blocks[s] / share[s] for s in sizes))  # the first source runs out
+    order = [s for _, s in sorted((slot, source) for (source, _), slot in slots.items())]
+    for t in range(1, until + 1):
+        got = Counter(order[:t])
+        assert all(abs(got[s] - t * share[s]) < 1 for s in sizes)
+
+
+def test_pipeline_of_repeated_null_and_renamed_columns(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    odd = docs.limit(3).withColumn("text", F.lit(None).cast("string")).unionByName(docs.limit(2).withColumn("text", F.lit("")))
+    odd = odd.unionByName(docs.limit(4).withColumn("doc_id", F.lit(None).cast("bigint")))
+    clash = ("slot", "_mark", "row", "id", "others", "n_tokens", "label", "block")
+    every = docs.unionByName(docs).unionByName(odd).withColumns({c: F.lit(f"own {c}") for c in clash})
+    every.write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    rows = out.collect()
+    ids = [r["doc_id"] for r in rows if r["doc_id"] is not None]
+    assert len(ids) == len(set(ids)) and set(ids) <= {r["doc_id"] for r in docs.collect()}
+    assert {(r["_mark"], r["row"], r["id"], r["others"], r["label"]) for r in rows} == {("own _mark", "own row", "own id", "own others", "own label")}
+    assert all(isinstance(r["slot"], int) and isinstance(r["n_tokens"], int) for r in rows)
+    every.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    none = corpus_pipeline.run(spark, f"{tmp_path}/none")
+    assert none.columns == out.columns and none.count() == 0
