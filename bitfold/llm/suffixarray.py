@@ -4,17 +4,16 @@ Suffixes are of type S when smaller than the next one and L when larger; an S af
 leftmost-smaller (LMS) suffix.  Sorted LMS suffixes induce the order of all L suffixes in one sweep
 over the buckets and these that of all S suffixes in a sweep back.  A first induction from
 unsorted LMS suffixes sorts the LMS substrings; equal ones get equal names, and the string of
-names, a third as long or less, is sorted in turn.  A bucket is swept as a few vectors rather
-than suffix by suffix.
-
-Names form a large alphabet, for which bucket sweeps do not pay, so the string of names is
-sorted by naming pairs of names, then pairs of those, until all names differ or the strings end.
+names, at most half as long, is sorted in turn by the same method.  A bucket is swept as a few
+vectors; names form a large alphabet of small buckets, which are swept suffix by suffix.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+CROWD = 64  # letters a bucket holds on average from which it is swept as a vector
+
 
 def suffix_types(text: np.ndarray) -> np.ndarray:
     """True where the suffix is of type S; the last one counts as S."""
@@ -58,6 +57,35 @@ def induce(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, sizes: np.ndar
     return order
 
 
+def induce_singly(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The same, suffix by suffix, for strings of many different letters."""
+    n = len(text)
+    letter, small = text.tolist(), is_s.tolist()
+    ends = np.cumsum(sizes)
+    order = [-1] * n
+    tail = ends.tolist()
+    for i in seeds[::-1].tolist():
+        c = letter[i]
+        tail[c] -= 1
+        order[tail[c]] = i
+    head = (ends - sizes).tolist()
+    for at in range(n):
+        i = order[at] - 1
+        if i >= 0 and not small[i]:
+            c = letter[i]
+            order[head[c]] = i
+            head[c] += 1
+    tail = ends.tolist()
+    for at in range(n - 1, -1, -1):
+        i = order[at] - 1
+        if i >= 0 and small[i]:
+            c = letter[i]
+            tail[c] -= 1
+            order[tail[c]] = i
+    order[0] = n - 1
+    return np.array(order, np.int64)
+
+
 def spread(text, found, is_s, wanted: bool, order, edge) -> None:
     """Put the suffixes of the wanted type at the edges of their buckets, in the given order."""
     found = found[is_s[found] == wanted]
@@ -97,23 +125,6 @@ def names_of(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarr
     return name[lms]
 
 
-def sort_names(names: np.ndarray) -> np.ndarray:
-    """Suffix array of a string of names, by naming pairs of ever longer stretches."""
-    n, reach = len(names), 1
-    rank = names.astype(np.int64)
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - reach] = rank[reach:] + 1
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        fresh = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
-        reach *= 2
-        if fresh[-1] == n - 1 or reach >= n:
-            return order
-
-
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Suffix array of non-negative integers; a suffix that ends is smaller than its extensions."""
     n = len(text)
@@ -123,31 +134,42 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     is_s = suffix_types(text)
     sizes = np.bincount(text)
     lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
-    ordered = induce(text, is_s, lms, sizes)
+    # a sweep over whole buckets pays while they are few
+    sort = induce if np.count_nonzero(sizes) * CROWD < n else induce_singly
+    ordered = sort(text, is_s, lms, sizes)
     is_lms = np.zeros(n + 1, bool)
     is_lms[lms] = True
     ordered = ordered[is_lms[ordered]]
     names = names_of(text, lms, ordered)
     if names.max() + 1 < len(lms):
-        ordered = lms[sort_names(names)]
-    return induce(text, is_s, ordered, sizes)[1:]
+        ordered = lms[suffix_array(names)]
+    return sort(text, is_s, ordered, sizes)[1:]
 
 
-def reach_together(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-    """Whether the suffixes at ``a`` and ``b`` share ``length`` bytes: their common prefix, cut there.
+def permuted_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Length of the prefix each suffix shares with its predecessor in the suffix array, in text order.
 
-    Pairs are compared in text order of ``a``, eight bytes at a time, as long as they agree.
+    Where the same letter stands before both, the length is one less than that of the suffix before
+    in the text.  Only the others are compared, four letters at a time; their lengths add up to
+    n log n at most.  Letters are below 65,535.
     """
-    turn = np.argsort(a, kind="stable")
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    words = np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
-    live = turn
-    for k in [*range(0, length - 7, 8), *([length - 8] if length % 8 and length > 8 else [])]:
-        agree = (words[a[live] + k] == words[b[live] + k]).all(axis=1)
-        live = live[agree]
-    if length < 8:
-        for k in range(length):
-            live = live[data[a[live] + k] == data[b[live] + k]]
-    out = np.zeros(len(a), bool)
-    out[live] = True
-    return out
+    n = len(text)
+    at = np.arange(n)
+    before = np.full(n, -1, np.int64)
+    before[order[1:]] = order[:-1]
+    compared = np.ones(n, bool)
+    follows = np.flatnonzero((at > 0) & (before > 0))
+    compared[follows] = text[follows - 1] != text[before[follows] - 1]
+    ended = np.concatenate((text.astype(np.uint16), np.full(4, 0xFFFF, np.uint16)))
+    words = np.ndarray((n + 1,), np.uint64, ended.tobytes(), 0, (2,)).copy()
+    shared = np.zeros(n, np.int64)
+    live, k = np.flatnonzero(compared & (before >= 0)), 0
+    while len(live):
+        differ = words[live + k] ^ words[before[live] + k]
+        done = differ != 0
+        low = differ[done]
+        letters = sum((low & np.uint64((1 << bits) - 1) == 0).astype(np.int64) for bits in (16, 32, 48))
+        shared[live[done]] = k + letters
+        live, k = live[~done], k + 4
+    source = np.maximum.accumulate(np.where(compared, at, 0))
+    return shared[source] - (at - source)

@@ -5,15 +5,20 @@ string holds an anchor: of its ``GRAM``-byte pieces the one with the smallest ha
 have equal anchors, so strings meet in the shard of their anchor, and only anchors that occur more
 than once go on.  Occurrences of an anchor with the same surroundings are settled by counting;
 the distinct surroundings of an anchor are laid end to end in a shard, whose suffix array is
-built by induced sorting.  Neighbours in the array with a common prefix of ``length`` bytes or more
-are equal strings, and all but the earliest are marked.
+built by induced sorting.  The permuted common prefixes tell which neighbours in the array share
+``length`` bytes; those are equal strings, and all but the earliest are marked.
 
-An anchor with more than ``HOT`` distinct surroundings would outgrow a task; its strings are
-grouped one by one instead, which is exact too.
+An anchor with more than ``CROWDED`` distinct surroundings would outgrow a task, so it is lengthened:
+each of its strings goes on a way to the left or to the right of the anchor, and meets its equals under
+the bytes that it has there.  This is repeated, six times at most, until every anchor fits its shard or
+is as long as the strings.
+
+Surroundings of one anchor are taken as equal when their shapes and 64-bit digests agree; two that
+differ do so with probability 2^-64.  Everything else compares bytes.
 
 Defined results: null counts as empty; documents are ordered by doc_id; rows that share a doc_id
-are one document each, ordered by a digest of the text, and equal repeated rows are one row.
-A null doc_id comes first.  Other columns are ignored.
+are one document each, ordered by a digest of the text; of equal repeated rows each has a result,
+and all but one are copies.  A null doc_id comes first.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,13 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitfold.llm.shingles import FACTOR, mix
-from bitfold.llm.suffixarray import reach_together, suffix_array
+from bitfold.llm.suffixarray import permuted_prefixes, suffix_array
 from bitfold.operators.ranking import ordered_rank
 from bitfold.session import materialize
 
 LENGTH, GRAM = 100, 40
 SHARD_BYTES = 1 << 20  # text of one suffix array
-HOT = 20_000  # surroundings of one anchor that a shard takes
+CROWDED = 20_000  # surroundings of one anchor from which it is lengthened
 PLACE = np.uint64((1 << 24) - 1)
 PIECE = 1 << 22  # bytes of one text that are scanned at a time
 
@@ -54,15 +59,15 @@ class AnchorFinder:
             self.inverse = np.concatenate(([np.uint64(1)], np.cumprod(np.full(n, back))))
 
     def find(self, data: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Per anchor: hash of its bytes, digest of its surroundings, first string, further strings."""
+        """Per anchor: hash of its bytes, digest of its surroundings, first string, further strings, bytes before it."""
         parts, at, step = [], 0, PIECE
         while at + self.length <= len(data):
             piece = data[at : at + step + self.length - 1]
-            anchor, around, first, more = self.piece(piece)
-            parts.append((anchor, around, first + at, more))
+            anchor, around, first, more, lead = self.piece(piece)
+            parts.append((anchor, around, first + at, more, lead))
             at += step
         if not parts:
-            return tuple(np.zeros(0, np.int64) for _ in range(4))
+            return tuple(np.zeros(0, np.int64) for _ in range(5))
         return parts[0] if len(parts) == 1 else tuple(np.concatenate(c) for c in zip(*parts))
 
     def piece(self, data: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -85,12 +90,12 @@ class AnchorFinder:
         around = (total[last + self.length] - total[first]) * self.inverse[first]
         shape = ((anchor - first) * 256 + (last - first)).astype(np.uint64)
         digest = mix(around ^ mix(shape + np.uint64(1)))
-        return grams[anchor].view(np.int64), digest.view(np.int64), first, last - first
+        return grams[anchor].view(np.int64), digest.view(np.int64), first, last - first, anchor - first
 
 
 def anchors(length: int, gram: int):
-    """``array<struct<anchor, around, first, more>>`` of each text."""
-    kind = "array<struct<anchor: bigint, around: bigint, first: bigint, more: int>>"
+    """``array<struct<anchor, around, first, more, lead>>`` of each text."""
+    kind = "array<struct<anchor: bigint, around: bigint, first: bigint, more: int, lead: int>>"
 
     @F.arrow_udf(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -98,10 +103,10 @@ def anchors(length: int, gram: int):
         for texts in batches:
             rows = [finder.find(np.frombuffer(t, np.uint8)) for t in texts_as_bytes(texts)]
             ends = np.concatenate(([0], np.cumsum([len(r[0]) for r in rows]))).astype(np.int32)
-            cells = [np.concatenate(c) if rows else np.zeros(0, np.int64) for c in (zip(*rows) if rows else [[]] * 4)]
+            cells = [np.concatenate(c) if rows else np.zeros(0, np.int64) for c in (zip(*rows) if rows else [[]] * 5)]
             values = pa.StructArray.from_arrays(
-                [pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.int64(), pa.int64(), pa.int32()))],
-                names=["anchor", "around", "first", "more"],
+                [pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
+                names=["anchor", "around", "first", "more", "lead"],
             )
             yield pa.ListArray.from_arrays(pa.array(ends), values)
 
@@ -117,17 +122,17 @@ def numbered(documents: DataFrame, text: str) -> DataFrame:
     """``(doc_id, doc, text)``: ``doc`` orders the documents and tells them apart.
 
     It is the doc_id itself, unless that is null or occurs twice somewhere; then documents are
-    numbered by (doc_id, digest of the text), and equal repeated rows become one.
+    numbered by (doc_id, digest of the text, number of the row).
     """
     read = documents.select("doc_id", F.col(f"`{text}`").alias("text"))
-    keys = read.groupBy("doc_id", F.xxhash64("text").alias("mark")).count()
-    per_id = keys.groupBy("doc_id").agg(F.count("*").alias("texts"), F.sum("count").alias("rows"))
-    if per_id.where((F.col("texts") > 1) | (F.col("rows") > 1) | F.col("doc_id").isNull()).isEmpty():
+    per_id = read.groupBy("doc_id").count()
+    if per_id.where((F.col("count") > 1) | F.col("doc_id").isNull()).isEmpty():
         return read.select("doc_id", F.col("doc_id").alias("doc"), "text")
-    ranks = ordered_rank(keys.select(F.struct("doc_id", "mark").alias("key")), "key", "doc")
-    ranks = ranks.select(F.col("key.doc_id").alias("_id"), F.col("key.mark").alias("_mark"), "doc")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_mark"))
-    return materialize(read.join(ranks, same).select("doc_id", "doc", "text").dropDuplicates(["doc"]), "numbered")
+    # written, so that the numbers of the rows stay
+    rows = materialize(read.withColumn("row", F.monotonically_increasing_id()), "rows")
+    keys = rows.select(F.struct("doc_id", F.xxhash64("text").alias("mark"), "row").alias("key"))
+    ranks = ordered_rank(keys, "key", "doc").select(F.col("key.row").alias("row"), "doc")
+    return materialize(rows.join(ranks.hint("merge"), "row").select("doc_id", "doc", "text"), "numbered")
 
 
 def shard_marker(length: int):
@@ -149,11 +154,10 @@ def shard_marker(length: int):
         places = np.repeat(starts, counts) + inside
         own[places] = True
         order = suffix_array(letters)
-        order = order[own[order]]
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = ~reach_together(data, order[1:], order[:-1], length)
-        run = np.flatnonzero(fresh)
-        lowest = np.repeat(np.minimum.reduceat(order, run), np.diff(np.append(run, len(order))))
+        run = np.cumsum(permuted_prefixes(letters, order)[order] < length)  # suffixes of a run share ``length`` bytes
+        order, run = order[own[order]], run[own[order]]
+        begins = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+        lowest = np.repeat(np.minimum.reduceat(order, begins), np.diff(np.append(begins, len(order))))
         copied = np.zeros(len(data), bool)
         copied[order[order != lowest]] = True
         hit = copied[places]
@@ -168,48 +172,82 @@ def shard_marker(length: int):
     return mark
 
 
-def copied_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
+def copied_ranges(
+    texts: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, crowded: int = CROWDED
+) -> DataFrame:
     """``(doc, start, end)``: byte ranges of ``texts(doc, text)`` that copy something earlier; they may overlap."""
     found = texts.select("doc", F.inline(anchors(length, gram)("text")))
     repeated = materialize(found.groupBy("anchor").count().where(F.col("count") > 1).select("anchor"), "anchors")
     uses = materialize(found.join(repeated.hint("merge"), "anchor"), "uses")
-    spot = F.struct("doc", "first", "more")
+    spot = F.struct("doc", "first", "more", "lead")
     around = materialize(uses.groupBy("anchor", "around").agg(F.min(spot).alias("spot")), "around")
-    later = uses.join(around.hint("merge"), ["anchor", "around"]).where(
-        (F.col("doc") != F.col("spot.doc")) | (F.col("first") != F.col("spot.first"))
-    )
-    whole = later.select("doc", F.col("first").alias("start"), (F.col("first") + F.col("more") + length).alias("end"))
+    later = uses.join(around.hint("merge"), ["anchor", "around"])
+    ranges = whole_copies(later, length)
     mixed = around.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     wanted = around.join(mixed.hint("merge"), "anchor").select("anchor", "n", "spot.*")
-    pieces = materialize(cut_out(wanted, texts, length), "pieces")
-    total = pieces.agg(F.sum(F.octet_length("piece"))).first()[0]
-    if not total:
-        return whole
-    shards = max(1, -(-total // shard_bytes))
-    sharded = pieces.where(F.col("n") <= hot).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    parts = sharded.select("shard", "doc", "first", "more", "piece").groupBy("shard").applyInArrow(
+    pieces, width = materialize(cut_out(wanted, texts, length), "pieces"), gram
+    while True:
+        fits = F.col("n") <= crowded
+        size = pieces.agg(F.sum(F.when(fits, F.octet_length("piece"))).alias("bytes"), F.max("n").alias("most")).first()
+        if size["bytes"]:
+            ranges = ranges.unionByName(copied_in_shards(pieces.where(fits), -(-size["bytes"] // shard_bytes), length))
+        if (size["most"] or 0) <= crowded or width == length:
+            return ranges
+        pieces, copies, width = lengthened(pieces.where(~fits), width, length)
+        ranges = ranges.unionByName(copies)
+
+
+def whole_copies(later: DataFrame, length: int) -> DataFrame:
+    """The ranges of surroundings next to the ``spot`` of the earliest equal ones, that itself left out."""
+    again = later.where((F.col("doc") != F.col("spot.doc")) | (F.col("first") != F.col("spot.first")))
+    return again.select("doc", F.col("first").alias("start"), (F.col("first") + F.col("more") + length).alias("end"))
+
+
+def copied_in_shards(pieces: DataFrame, shards: int, length: int) -> DataFrame:
+    """The ranges that suffix arrays find; the surroundings of an anchor share a shard."""
+    sharded = pieces.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    return sharded.select("shard", "doc", "first", "more", "piece").groupBy("shard").applyInArrow(
         shard_marker(length), "doc bigint, start bigint, end bigint"
     )
-    return whole.unionByName(parts).unionByName(copied_one_by_one(pieces.where(F.col("n") > hot), length))
+
+
+def lengthened(pieces: DataFrame, width: int, length: int) -> tuple[DataFrame, DataFrame, int]:
+    """``pieces`` under anchors longer than ``width``, the ranges settled on the way, and the new width.
+
+    A string has ``length - width`` bytes beside its anchor, so half of them or more lie on one side.  Strings
+    with enough bytes on the left go by those and the anchor, the others by the anchor and those on the right.
+    Equal strings have their anchor at the same place and stay together.
+    """
+    grow = (length - width + 1) // 2
+    reach = F.col("lead") - grow  # the last string with enough bytes on the left
+    left = F.struct(F.lit(0).alias("low"), F.least("more", reach).alias("high"), F.lit(grow).alias("back"))
+    right = F.struct(F.greatest(F.lit(0), reach + 1).alias("low"), F.col("more").alias("high"), F.lit(0).alias("back"))
+    split = pieces.withColumn("part", F.explode(F.array(left, right))).where("part.low <= part.high")
+    low, back, more = F.col("part.low"), F.col("part.back"), F.col("part.high") - F.col("part.low")
+    longer = split.select(
+        F.xxhash64("part.back", F.substring("piece", F.col("lead") - back + 1, F.lit(width + grow))).alias("anchor"),
+        "doc",
+        (F.col("first") + low).alias("first"),
+        more.alias("more"),
+        (F.col("lead") - back - low).alias("lead"),
+        F.substring("piece", low + 1, more + length).alias("piece"),
+    )
+    alike = ["anchor", "lead", "piece"]
+    distinct = materialize(longer.groupBy(*alike).agg(F.min(F.struct("doc", "first", "more")).alias("spot")), "alike")
+    copies = whole_copies(longer.join(distinct.hint("merge"), alike), length)
+    mixed = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > 1), "mixed")
+    wanted = distinct.join(mixed.hint("merge"), "anchor").select("anchor", "n", "spot.*", "lead", "piece")
+    return materialize(wanted, "longer"), copies, width + grow
 
 
 def cut_out(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """``wanted`` with the bytes of its strings; one list per document fetches them from its text."""
-    spots = F.collect_list(F.struct("anchor", "n", "first", "more")).alias("spots")
+    spots = F.collect_list(F.struct("anchor", "n", "first", "more", "lead")).alias("spots")
     by_doc = wanted.groupBy("doc").agg(spots)
     data = texts.join(by_doc.hint("merge"), "doc").select("doc", F.col("text").cast("binary").alias("data"), "spots")
     each = data.select("doc", "data", F.inline("spots"))
     piece = F.substring("data", F.col("first").cast("int") + 1, F.col("more") + length)
-    return each.select("anchor", "n", "doc", "first", "more", piece.alias("piece"))
-
-
-def copied_one_by_one(pieces: DataFrame, length: int) -> DataFrame:
-    """The same for anchors too common for a shard: every string is a row and meets its equals."""
-    strings = pieces.select("doc", "first", "piece", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("at"))
-    strings = strings.select("doc", (F.col("first") + F.col("at")).alias("start"), F.substring("piece", F.col("at") + 1, F.lit(length)).alias("string"))
-    earliest = strings.groupBy("string").agg(F.min(F.struct("doc", "start")).alias("one"))
-    later = strings.join(earliest.hint("merge"), "string").where(F.struct("doc", "start") != F.col("one"))
-    return later.select("doc", "start", (F.col("start") + length).alias("end"))
+    return each.select("anchor", "n", "doc", "first", "more", "lead", piece.alias("piece"))
 
 
 def remover():

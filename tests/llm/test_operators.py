@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from bitfold.llm import exact, language, licenses, mixing, nearcopies, pieces, quality, secrets, suffixes, urls
 from bitfold.llm.shingles import WordHasher, long_text, shingle_set, word_hashes
-from bitfold.llm.suffixarray import suffix_array
+from bitfold.llm import suffixarray
+from bitfold.llm.suffixarray import permuted_prefixes, suffix_array
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -375,14 +376,30 @@ def test_quality_em_recovers_rule_accuracies():
 # --- suffix arrays
 
 
-def test_suffix_array_is_sorted():
+@pytest.mark.parametrize("crowd", [0, 64, 1 << 40])
+def test_suffix_array_is_sorted(monkeypatch, crowd):
+    monkeypatch.setattr(suffixarray, "CROWD", crowd)
     rng = np.random.default_rng(0)
     for _ in range(400):
         s = rng.integers(0, rng.integers(1, 5), rng.integers(0, 40))
+        s = np.concatenate((s, s[: len(s) // 2], s))
         assert suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
 
 
-@pytest.mark.parametrize("options", [{}, {"hot": 1}, {"shard_bytes": 500}])
+def test_permuted_prefixes_equal_plain_comparison():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        s = rng.integers(0, rng.integers(1, 5), rng.integers(1, 40))
+        s = np.concatenate((s, s[: len(s) // 2], s))
+        order = suffix_array(s)
+        found, text = permuted_prefixes(s, order), s.tolist()
+        assert found[order[0]] == 0
+        for a, b in zip(order[:-1], order[1:]):
+            both = list(zip(text[a:], text[b:]))
+            assert found[b] == next((k for k, (x, y) in enumerate(both) if x != y), len(both))
+
+
+@pytest.mark.parametrize("options", [{}, {"crowded": 1}, {"crowded": 3}, {"shard_bytes": 500}])
 def test_removed_bytes_equal_plain_search(spark, edge, options):
     rows, frame = edge
     found = by_id(suffixes.remove_copies(frame, **options), "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -395,10 +412,26 @@ def test_removed_bytes_with_shared_ids(spark):
     rows = [(1, one), (1, one), (1, two), (None, one[:150]), (2, two[100:] + one)]
     out = suffixes.remove_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"]) for r in out) == [
-        ("1", 300, 0), ("1", 300, 150), ("2", 500, 500), ("None", 150, 0)
+        ("1", 300, 0), ("1", 300, 150), ("1", 300, 300), ("2", 500, 500), ("None", 150, 0)
     ]
 
 
+def test_crowded_anchor_is_lengthened(spark):
+    """One passage with other surroundings in every document, at every place of a string."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    anchor, ends = word(45), [word(60) for _ in range(6)]
+    rows = [
+        (d, word(rng.randint(0, 9)) + rng.choice(ends)[rng.randint(0, 59) :] + anchor + rng.choice(ends)[: rng.randint(0, 60)] + word(5))
+        for d in range(150)
+    ] + [(200, None), (201, ""), (202, anchor)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    plain = brute.without_repeats(rows)
+    assert sum(r[1] for r in plain.values()) > 0
+    for crowded in (1, 20):
+        assert by_id(suffixes.remove_copies(frame, crowded=crowded), "n_bytes", "n_removed", "n_spans", "kept_sha256") == plain
+
+
 # --- near duplicates
 
 
