@@ -60,28 +60,29 @@ def induce(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, sizes: np.ndar
 def induce_singly(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The same, suffix by suffix, for strings of many different letters."""
     n = len(text)
-    letter, small = text.tolist(), is_s.tolist()
+    # bucket of the suffix that a suffix induces, -1 where it is of the other type or there is none
+    larger, smaller = np.full(n + 1, -1), np.full(n + 1, -1)
+    larger[1:n] = np.where(is_s[:-1], -1, text[:-1])
+    smaller[1:n] = np.where(is_s[:-1], text[:-1], -1)
+    larger, smaller = larger.tolist(), smaller.tolist()
     ends = np.cumsum(sizes)
     order = [-1] * n
     tail = ends.tolist()
-    for i in seeds[::-1].tolist():
-        c = letter[i]
+    for i, c in zip(seeds[::-1].tolist(), text[seeds[::-1]].tolist()):
         tail[c] -= 1
         order[tail[c]] = i
     head = (ends - sizes).tolist()
-    for at in range(n):
-        i = order[at] - 1
-        if i >= 0 and not small[i]:
-            c = letter[i]
-            order[head[c]] = i
+    for i in order:  # sees what the loop itself puts further on
+        c = larger[i]
+        if c >= 0:
+            order[head[c]] = i - 1
             head[c] += 1
     tail = ends.tolist()
-    for at in range(n - 1, -1, -1):
-        i = order[at] - 1
-        if i >= 0 and small[i]:
-            c = letter[i]
+    for i in reversed(order):
+        c = smaller[i]
+        if c >= 0:
             tail[c] -= 1
-            order[tail[c]] = i
+            order[tail[c]] = i - 1
     order[0] = n - 1
     return np.array(order, np.int64)
 
