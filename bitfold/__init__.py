@@ -26,6 +26,6 @@ from bitfold.plans.retrieval import retrieval_grid
 from bitfold.plans.sampled import best_algorithms, sampled_errors
 from bitfold.plans.truth import accuracy_truth, retrieval_truth
 from bitfold.sources.bagofwords import encode_text_folder, load_bag_of_words, write_bag_of_words
-from bitfold.sources.tables import load_sets, save_results, save_sets, synthetic_sets
+from bitfold.sources.tables import load_sets, save_results, save_sets, synthetic_like, synthetic_sets
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -412,10 +412,23 @@ count(*) AS n_pairs, distance FROM near JOIN side p ON p.doc_id = x JOIN side q
     return f"{body} SELECT least(rx, ry) AS i, greatest(rx, ry) AS j, count(*) AS n_pairs, distance FROM near GROUP BY 1, 2, distance"
 
 
+# random sets with as many rows, features and cells as the customers' sets
+TWIN = f"""
+shape AS (SELECT (SELECT count(*) FROM customer) AS n_rows, (SELECT count(*) FROM part) AS n_cols,
+    (SELECT count(*) FROM (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey)) AS nnz),
+draw_ids AS (SELECT unnest(range(2 * nnz + 64))::BIGINT AS id FROM shape),
+cells AS (SELECT DISTINCT ((({h32('id', SEED, 'cell-high')}) & {(1 << 30) - 1}) * {1 << 32} + ({h32('id', SEED, 'cell-low')})) % (n_rows * n_cols) AS cell
+    FROM draw_ids CROSS JOIN shape WHERE 2 * nnz <= n_rows * n_cols
+    UNION ALL SELECT unnest(range(n_rows * n_cols))::BIGINT FROM shape WHERE 2 * nnz > n_rows * n_cols),
+docs AS (SELECT unnest(range(n_rows))::BIGINT AS doc_id FROM shape),
+vocab AS (SELECT unnest(range(n_cols))::BIGINT AS feature_id FROM shape),
+items AS MATERIALIZED (SELECT cell // n_cols AS doc_id, cell % n_cols AS feature_id FROM
+    (SELECT cell, row_number() OVER (ORDER BY {h32('cell', SEED, 'cells')}, cell) AS r FROM cells) CROSS JOIN shape WHERE r <= nnz)"""
+
 ALL_FOUR = ("inner_product", "hamming_distance", "jaccard_similarity", "cosine_similarity")
 
 
-def _sampled_errors(k: int, n: int) -> str:
+def _sampled_errors(k: int, n: int, sets: str = CUSTOMERS) -> str:
     wanted = {
         "BinSketch": list(ALL_FOUR), "BCS": ["inner_product", "cosine_similarity"],
         "MinHash": ["jaccard_similarity"], "SimHash": ["hamming_distance", "cosine_similarity"],
@@ -424,7 +437,7 @@ def _sampled_errors(k: int, n: int) -> str:
     for algorithm, metrics in wanted.items():
         for m in metrics:
             true = exact(m, "overlap", "card_i", "card_j")
-            parts.append(f"""SELECT * FROM (WITH {CUSTOMERS}, {sampled(n, True)}, {estimates(algorithm, k, 'listed', 'i', 'j')},
+            parts.append(f"""SELECT * FROM (WITH {sets}, {sampled(n, True)}, {estimates(algorithm, k, 'listed', 'i', 'j')},
 miss AS (SELECT abs(est.{m} - ({true})) AS e, abs({true}) AS t FROM listed JOIN est ON est.x = i AND est.y = j)
 SELECT '{algorithm}' AS algorithm, '{m}' AS metric, {r6('avg(e * e)', 'mse')}, {r6('avg(e)', 'mae')}, {r6('max(e)', 'max_error')},
 {r6(f'avg(e / (t + {dbl(TINY)})) * {dbl(TINY)}', 'relative_error')},
@@ -584,6 +597,14 @@ FROM qt JOIN reps rq ON rq.doc_id = q JOIN reps rt ON rt.doc_id = t WHERE {p} GR
         "retrieval_grid_jaccard": _retrieval_grid_query("jaccard_similarity", GRID_THRESHOLDS, GRID_CELLS),
         "retrieval_grid_cosine": _retrieval_grid_query("cosine_similarity", SIGN_GRID_THRESHOLDS, [("SimHash", 128)]),
         "sampled_pair_errors": errors,
+        "truth_job_accuracy": _pair_query(CUSTOMERS, "cosine_similarity", 0.1),
+        "truth_job_retrieval": f"{bought}, {query_train_pairs('cosine_similarity')} {_by_class('qt', 'sim', 0.1)}",
+        "filtered_truth_saved": f"""{truth} SELECT i, j, n_pairs, {r6('sim', 'sim')},
+(SELECT sum(n_pairs)::BIGINT FROM cp) AS total_pairs, (SELECT sum(n_pairs)::BIGINT FROM cp WHERE sim >= {dbl(0.5)}) AS filtered_count
+FROM cp WHERE sim >= {dbl(0.5)}""",
+        "sets_saved": f"{bought} SELECT doc_id, feature_id FROM items",
+        "synthetic_items": f"WITH {TWIN} SELECT doc_id, feature_id FROM items",
+        "synthetic_pair_errors": _sampled_errors(50, 200, TWIN),
         "best_algorithm": f"""WITH r AS ({errors})
 SELECT * FROM (SELECT algorithm AS best_mse_algorithm, mse AS best_mse FROM r ORDER BY mse, algorithm, metric LIMIT 1)
 CROSS JOIN (SELECT algorithm AS best_mae_algorithm, mae AS best_mae FROM r ORDER BY mae, algorithm, metric LIMIT 1)""",

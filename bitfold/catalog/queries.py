@@ -38,9 +38,10 @@ from bitfold.plans.accuracy import DEFAULT_LENGTHS, accuracy_grid, algorithm_acc
 from bitfold.plans.growing import extended_truth
 from bitfold.plans.retrieval import query_outcomes, retrieval_grid, summarize
 from bitfold.plans.sampled import best_algorithms, sampled_errors
-from bitfold.plans.truth import retrieval_filter
+from bitfold.plans.truth import accuracy_truth, retrieval_filter, retrieval_truth
 from bitfold.session import materialize, scratch_path
 from bitfold.sources.bagofwords import load_bag_of_words, write_bag_of_words
+from bitfold.sources.tables import load_sets, save_filtered_truth, save_sets, synthetic_like
 
 JACCARD, COSINE, INNER = "jaccard_similarity", "cosine_similarity", "inner_product"
 ERROR_THRESHOLDS = [0.1, 0.2, 0.3, 0.5, 0.8]
@@ -582,6 +583,62 @@ def best_algorithm(spark, sf):
     return rounded(best_algorithms(once(spark, sf, "sampled-errors", build)))
 
 
+# ---- saved truth, saved sets, random sets of the same shape ----
+
+
+def truth_job_accuracy(spark, sf):
+    """Saved from a low threshold up, asked again for a higher one, which the saved table covers."""
+    path = once(spark, sf, "accuracy-truth", lambda: scratch_path(spark, "accuracy-truth"))
+    accuracy_truth(customer_sets(spark, sf), COSINE, 0.05, path, "customers")
+    return _pair_columns(accuracy_truth(customer_sets(spark, sf), COSINE, 0.1, path, "customers"))
+
+
+def truth_job_retrieval(spark, sf):
+    path = once(spark, sf, "retrieval-truth", lambda: scratch_path(spark, "retrieval-truth"))
+    for threshold in (0.05, 0.1):
+        pairs, _ = retrieval_truth(customer_sets(spark, sf), COSINE, threshold, path, "customers", TRAIN_RATIO, SEED)
+    return rounded(pairs.select("i", "j", "n_pairs", "sim"))
+
+
+def filtered_truth_saved(spark, sf):
+    """The kept pairs and the report of a filter, read back from JSON lines."""
+    def build():
+        path, pairs = scratch_path(spark, "filtered"), truth(spark, sf, "documents", JACCARD, 0.1)
+        save_filtered_truth(filter_by_threshold(pairs, 0.5, "ge"), filter_report(pairs, 0.5, "ge"), path)
+        return path
+
+    path = once(spark, sf, "filtered", build)
+    report = spark.read.schema("total_pairs bigint, filtered_count bigint").json(f"{path}/report")
+    kept = spark.read.schema("i bigint, j bigint, n_pairs bigint, sim double").json(f"{path}/pairs")
+    return rounded(kept.join(F.broadcast(report), F.lit(True)))
+
+
+def sets_saved(spark, sf):
+    """Sets of customers, written as a matrix is and loaded again."""
+    def build():
+        path = scratch_path(spark, "sets")
+        save_sets(customer_sets(spark, sf), path)
+        return path
+
+    return load_sets(spark, once(spark, sf, "saved-sets", build)).items
+
+
+def _twin(spark, sf):
+    return once(
+        spark, sf, "customers-twin", lambda: synthetic_like(customer_sets(spark, sf), SEED).materialize("customers-twin")
+    )
+
+
+def synthetic_items(spark, sf):
+    return _twin(spark, sf).items
+
+
+def synthetic_pair_errors(spark, sf):
+    """Estimates on random sets of the customers' shape, where hardly any pair is similar."""
+    errors = sampled_errors(_twin(spark, sf), k=50, n_pairs=200, seed=SEED)
+    return rounded(errors.withColumn("relative_error", F.col("relative_error") * 1e-10))
+
+
 REGISTERED = (
     vocab_min_df, items_binary, items_customers, binarize_discounts, binary_check, coo_export, doc_sets,
     row_items, summary, corner_preview, first_documents, docword_roundtrip, split_sides, split_validity,
@@ -600,6 +657,7 @@ REGISTERED = (
     hamming_sketch_pairs_queries, *query_train_low, retrieval_grid_low,
     max_similarity_exact, thresholds_exact, top_pairs_documents, top_pairs_customers, histogram_documents,
     exp1_default_lengths, exp1_lane_lengths, retrieval_grid_lengths, truth_after_append,
+    truth_job_accuracy, truth_job_retrieval, filtered_truth_saved, sets_saved, synthetic_items, synthetic_pair_errors,
 )
 
 

@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = "customer part orders lineitem documents".split()
 SAMPLE = (
     "items_binary", "split_sides", "binsketch_sketch", "minhash_signature", "exact_jaccard",
-    "query_train_bcs", "exp1_error_grid", "neighbors_summary",
+    "query_train_bcs", "exp1_error_grid", "neighbors_summary", "truth_job_accuracy", "truth_job_retrieval", "synthetic_items",
 )
 
 

@@ -103,6 +103,16 @@ def test_synthetic_sets_have_exactly_the_asked_cells(spark):
         assert all(0 <= d < 50 and 0 <= f < 40 for d, f in got)
 
 
+def test_synthetic_sets_of_a_given_shape(spark):
+    for n_rows, n_cols, density in ((7, 9, 0.3), (30, 11, 0.9), (5, 5, 0.0)):
+        given = tables.synthetic_sets(spark, n_rows, n_cols, density, 1)
+        twin = tables.synthetic_like(given, 2)
+        assert twin.items.count() == given.items.count()
+        assert twin.docs.count() == n_rows and twin.vocab.count() == n_cols
+    nothing = tables.synthetic_sets(spark, 0, 4, 0.5, 1)
+    assert tables.synthetic_like(nothing).items.isEmpty()
+
+
 def test_binarize_and_check(spark):
     triples = spark.createDataFrame([(0, 1, 2.0), (0, 1, 1.0), (1, 0, 0.0)], "r int, c int, v double")
     assert cells(encode.binarize(triples, "r", "c", "v")) == [(0, 1)]
