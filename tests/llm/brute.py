@@ -1,8 +1,14 @@
 """Plain Python versions of what the operators compute."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
+
+import numpy as np
+
+from bitfold.llm import quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -40,6 +46,76 @@ def statistics(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), repeated, len(covered), failed
 
 
+def quality_votes(text):
+    """What each rule says of one text, from plain counts."""
+    n_words, word_chars, n_symbols, n_dup, n_repeat, _ = statistics(text)
+    words, lines = WORD.findall(text or ""), [x for x in (text or "").split("\n") if WORD.search(x)]
+    digits, capitals = len(re.findall("[0-9]", text or "")), len(re.findall("[A-Z]", text or ""))
+    stops = len(set(words) & set(quality.STOP_WORDS))
+    of = lambda a, b: a / b if b else 0.0
+    length, some = of(word_chars, n_words), n_words >= 5
+    said = [
+        (n_words >= 50, n_words < 20),
+        (some and 3 <= length <= 10, some and (length < 2.5 or length > 13)),
+        (some and of(n_symbols, n_words) <= 0.02, some and of(n_symbols, n_words) > 0.1),
+        (len(lines) >= 2 and n_dup / len(lines) <= 0.05, len(lines) >= 2 and n_dup / len(lines) > 0.3),
+        (some and of(n_repeat, n_words) <= 0.05, some and of(n_repeat, n_words) > 0.2),
+        (some and of(digits, word_chars) <= 0.05, some and of(digits, word_chars) > 0.2),
+        (some and of(capitals, word_chars) <= 0.15, some and of(capitals, word_chars) > 0.5),
+        (stops >= 3, n_words >= 30 and stops <= 1),
+    ]
+    return [-1 if bad else 1 if good else 0 for good, bad in said]
+
+
+def quality_posteriors(votes, rounds=40, trust=0.2):
+    """The chance that each row is good, by expectation-maximisation row by row, as plain products of probabilities."""
+    votes = np.array(votes)
+    lean = np.array([[0.1, 0.6], [0.2, 0.3], [0.7, 0.1]])  # of votes -1, 0, 1 by good and bad rows
+    share, tables = 0.8, np.repeat(lean[None], votes.shape[1], axis=0)
+    weight = trust * len(votes) + 1
+
+    def good():
+        likely = np.prod([tables[r, votes[:, r] + 1] for r in range(votes.shape[1])], axis=0) * [share, 1 - share]
+        return likely[:, 0] / likely.sum(axis=1)
+
+    for _ in range(rounds):
+        p = good()
+        share = (p.sum() + 0.8 * weight) / (len(votes) + weight)
+        of = np.array([p.sum() + weight, (1 - p).sum() + weight])
+        for r in range(votes.shape[1]):
+            for v in (-1, 0, 1):
+                at = votes[:, r] == v
+                tables[r, v + 1] = (np.array([p[at].sum(), (1 - p)[at].sum()]) + weight * lean[v + 1]) / of
+    return good()
+
+
+def fluid_time(blocks, weights, i, level):
+    """When source ``i`` has received ``level`` blocks, if all sources fill at rates in proportion to their weights."""
+    got, t = [Fraction(0)] * len(blocks), Fraction(0)
+    while got[i] < level:
+        filling = [k for k, b in enumerate(blocks) if got[k] < b]
+        total = sum(weights[k] for k in filling)
+        step = min([(blocks[k] - got[k]) * total / weights[k] for k in filling] + [(level - got[i]) * total / weights[i]])
+        t += step
+        for k in filling:
+            got[k] += step * weights[k] / total
+    return t
+
+
+def pfair(blocks, weights):
+    """(source, block, release, deadline) by slot: the released block with the earliest deadline, smaller source first."""
+    waiting = []
+    for i, b in enumerate(blocks):
+        times = [fluid_time(blocks, weights, i, Fraction(j)) for j in range(b + 1)]
+        waiting += [(i, j, math.floor(times[j]), math.ceil(times[j + 1])) for j in range(b)]
+    out = []
+    for t in range(len(waiting)):
+        best = min((x for x in waiting if x[2] <= t), key=lambda x: (x[3], x[0], x[1]))
+        waiting.remove(best)
+        out.append(best)
+    return out
+
+
 def exact_groups(rows):
     groups = defaultdict(list)
     for doc_id, text in rows:

@@ -260,6 +260,27 @@ def test_mixing_windows_hold_when_sources_run_out():
         assert all(release <= t < deadline for t, (_, _, release, deadline) in enumerate(rows))
 
 
+def test_mixing_schedule_equals_plain_simulation():
+    rng = random.Random(11)
+    for _ in range(25):
+        m = rng.randrange(1, 8)
+        blocks, weights = [rng.randrange(1, 9) for _ in range(m)], [rng.randrange(1, 12) for _ in range(m)]
+        assert list(mixing.earliest_deadline_first(blocks, weights)) == brute.pfair(blocks, weights)
+
+
+def test_mixing_places_equal_plain_simulation(spark, documents):
+    named = documents.select("doc_id", F.when(F.col("source") != "web", F.col("source")).alias("source"))
+    sizes = {r["source"]: r["count"] for r in named.groupBy("source").count().collect()}
+    weights = {s: 1.0 + k for k, s in enumerate(sorted(sizes, key=str))}
+    order = sorted(sizes, key=lambda s: (s is None, str(s)))
+    placed = mixing.place(named, weights, block_rows=16).collect()
+    found = {(r["slot"], r["source"], r["block"], r["release"], r["deadline"]) for r in placed}
+    plain = brute.pfair([-(-sizes[s] // 16) for s in order], [int(weights[s]) for s in order])
+    assert found == {(t, order[i], j, r, d) for t, (i, j, r, d) in enumerate(plain)}
+    assert all(r["block"] == r["source_rank"] // 16 for r in placed)
+    assert {(r["source"], r["source_rank"]) for r in placed} == {(s, k) for s, n in sizes.items() for k in range(n)}
+
+
 def test_mixing_takes_any_number_of_sources(spark):
     many = spark.range(900).select(F.col("id").alias("doc_id"), (F.col("id") % 300).cast("string").alias("source"))
     placed = mixing.place(many, block_rows=1)
@@ -359,6 +380,15 @@ def test_quality_statistics_equal_plain_counts(spark, edge, documents, texts):
         assert judged.where("base_failed and kept").isEmpty()
 
 
+def test_quality_verdicts_equal_plain_votes_and_rounds(spark, edge, documents, texts):
+    for rows, frame in (edge, (texts, documents)):
+        judged = {r["doc_id"]: r for r in quality.judge(frame.select("doc_id", "text")).collect()}
+        expected = brute.quality_posteriors([brute.quality_votes(t) for _, t in rows])
+        assert np.allclose([judged[d]["quality"] for d, _ in rows], expected, atol=1e-9)
+        failed = [brute.statistics(t)[-1] for _, t in rows]
+        assert [judged[d]["kept"] for d, _ in rows] == [bool(p >= 0.5 and not f) for p, f in zip(expected, failed)]
+
+
 def test_quality_em_recovers_rule_accuracies():
     rng = random.Random(5)
     counts = {}
