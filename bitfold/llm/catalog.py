@@ -33,6 +33,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_secret_scan": secrets.op2_sql(),
         "op3_exact_dedup": exact.OP3_SQL,
+        "op9_near_dedup": nearcopies.OP9_SQL,
         "op11_importance_resampling": resampling.op11_sql(),
         "op13_spelling_variants": spelling.op13_sql(),
     }

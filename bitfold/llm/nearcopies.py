@@ -272,3 +272,22 @@ def keep_smallest(documents: DataFrame, text: str = "text", **options) -> DataFr
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_copies(documents, width=4).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: Every pair of documents that share a shingle, and the components by walking the links.
+OP9_SQL = r"""
+WITH RECURSIVE
+worded AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM worded),
+sized AS MATERIALIZED (SELECT doc_id, len(s)::BIGINT AS n FROM sets),
+single AS MATERIALIZED (SELECT doc_id, unnest(s) AS x FROM sets),
+met AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS common FROM single a JOIN single b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT i, j FROM met JOIN sized a ON a.doc_id = i JOIN sized b ON b.doc_id = j
+    WHERE 100 * common >= 80 * (a.n + b.n - common)),
+both_ways AS MATERIALIZED (SELECT i, j FROM links UNION SELECT j, i FROM links),
+reached AS (SELECT doc_id, doc_id AS seen FROM sized UNION SELECT both_ways.j, seen FROM reached JOIN both_ways ON both_ways.i = reached.doc_id),
+least_seen AS (SELECT doc_id, min(seen) AS component_id FROM reached GROUP BY doc_id)
+SELECT sized.doc_id, n AS n_shingles, component_id, sized.doc_id = component_id AS kept FROM sized JOIN least_seen USING (doc_id)
+"""

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
@@ -19,12 +20,13 @@ def test_queries_are_registered():
     assert [name for name, _ in corpus_pipeline.STAGES][0] == "language_id" and len(corpus_pipeline.STAGES) == 5
 
 
-def test_exact_dedup_equals_sql(spark):
+@pytest.mark.parametrize("name", ["op3_exact_dedup", "op9_near_dedup"])
+def test_dedup_equals_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
-    answer = con.execute(registered.oracle_sql()["op3_exact_dedup"])
+    answer = con.execute(registered.oracle_sql()[name])
     columns = [c[0] for c in answer.description]
-    found = registered.queries()["op3_exact_dedup"](spark, SF).select(*columns).collect()
+    found = registered.queries()[name](spark, SF).select(*columns).collect()
     assert sorted(map(tuple, found)) == sorted(answer.fetchall())
 
 
