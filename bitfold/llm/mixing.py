@@ -181,10 +181,10 @@ def place(
     return rank.join(plan.withColumnRenamed("_block", "_at"), both).select("row.*", *RESULTS)
 
 
-def mixed(documents: DataFrame, weights: dict | None = None, **limits) -> DataFrame:
+def mixed(documents: DataFrame, weights: dict | None = None, places: bool = False, **limits) -> DataFrame:
     """``documents`` in schedule order: written files follow the target weights from start to end.
 
-    Places are found without the texts and written; the texts move to their place afterwards.
+    With ``places`` they carry ``source_rank`` and ``slot``, and columns named like a result are replaced.  Places are found without the texts and written; the texts move to their place afterwards.
     """
     mark = F.xxhash64(F.col("text")).alias("mark")
     key = ["doc_id", "source", "mark"]
@@ -195,7 +195,11 @@ def mixed(documents: DataFrame, weights: dict | None = None, **limits) -> DataFr
     for c in key:
         same = same & F.col(c).eqNullSafe(F.col(f"at_{c}"))
     put = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "doc_id", "source", mark)
-    return put.join(spots.hint("merge"), same).orderBy("slot", "rank").select("row.*")
+    found = put.join(spots.hint("merge"), same).orderBy("slot", "rank")
+    if not places:
+        return found.select("row.*")
+    kept = [F.col(f"row.`{c}`") for c in documents.columns if c not in RESULTS]
+    return found.select(*kept, F.col("rank").alias("source_rank"), "slot")
 
 
 def op5_source_mixing(spark, sf_dir: str) -> DataFrame:

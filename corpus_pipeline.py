@@ -35,25 +35,30 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def in_target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing: every document takes its place in the order that follows the sources' target weights."""
+    """The documents alone, in the order that follows the sources' target weights."""
     return mixing.mixed(docs)
 
 
+def placed_in_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: every document takes its place in that order and carries it along."""
+    return mixing.mixed(docs, places=True)
+
+
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece: ids of every text, next to its document's columns and its place in the mix.
 
-    The mix depends on the documents alone, so the slots are those of the stage before, in whatever order
-    its files are read.
+    The places are those the stage before wrote, in whatever order its files are read.
     """
     coded = pieces.encode_digests(docs, pieces.default_model()).drop("text")
-    return mixing.place(coded).drop("block", "release", "deadline")
+    places = ("source_rank", "slot")
+    return coded.select(*[F.col(f"`{c}`") for c in coded.columns if c not in places], *places)
 
 
 STAGES = [
     ("language_id", known_language),
     ("exact_dedup", without_copies),
     ("near_dedup", without_near_copies),
-    ("source_mixing", in_target_mix),
+    ("source_mixing", placed_in_mix),
     ("sentencepiece", token_ids),
 ]
 

@@ -85,3 +85,15 @@ def test_pipeline_of_repeated_null_and_renamed_columns(spark, tmp_path):
     every.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     none = corpus_pipeline.run(spark, f"{tmp_path}/none")
     assert none.columns == out.columns and none.count() == 0
+
+
+def test_places_are_those_of_the_mixing_stage(spark, tmp_path):
+    stages = dict(corpus_pipeline.STAGES)
+    rows = [(d, "ab"[d % 3 == 0], f"text number {d}", "own") for d in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string, block string")
+    placed = stages["source_mixing"](spark, docs, SF)
+    turned = placed.withColumn("slot", 1000 - F.col("slot"))
+    want = {r["doc_id"]: (r["source_rank"], r["slot"]) for r in turned.collect()}
+    found = {r["doc_id"]: (r["source_rank"], r["slot"]) for r in stages["sentencepiece"](spark, turned, SF).collect()}
+    assert found == want
+    assert placed.columns == ["doc_id", "source", "text", "source_rank", "slot"]
