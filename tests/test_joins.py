@@ -1,9 +1,12 @@
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from bitfold.operators import overlap, pairs, postings, profile
+from bitfold.operators import cells, histogram, overlap, pairs, postings, profile
 from bitfold.operators.classes import collapse_copies
 from bitfold.operators.overlap import similar_pairs
 from bitfold.operators.retrieve import estimated_neighbors, least_shared
@@ -218,3 +221,55 @@ def test_sampled_pairs(spark):
     assert len(drawn) == 200 and {r["i"] for r in drawn} <= set(range(0, 30, 3))
     apart = pairs.sample_pairs(docs, 200, 1, with_replacement=False).collect()
     assert len(apart) == 45 and all(r["i"] != r["j"] for r in apart)
+
+
+@pytest.mark.parametrize("name,threshold,comparison", [
+    ("jaccard_similarity", 0.1, "gt"), ("jaccard_similarity", 0.0, "gt"), ("cosine_similarity", 0.3, "ge"), ("inner_product", 2, "gt"),
+])
+def test_low_thresholds_list_neither_meetings_nor_candidates(make_sets, random_rows, monkeypatch, name, threshold, comparison):
+    def never(*given):
+        raise AssertionError("meetings are shuffled")
+
+    monkeypatch.setattr(overlap, "seen_often_enough", never)
+    monkeypatch.setattr(overlap, "verified_overlaps", never)
+    for what, value in {"TILE_ROWS": 9, "LIST_ROWS": 3, "CELL_IDS": 40, "MAX_CHUNK": 4, "BLOCK": 50}.items():
+        monkeypatch.setattr(cells, what, value)
+    rows = random_rows(seed=4)
+    sets, ids = make_sets(rows, 150), sorted(rows)
+    keep = (lambda s: s > threshold) if comparison == "gt" else (lambda s: s >= threshold)
+    assert collected(similar_pairs(collapse_copies(sets), name, threshold, comparison), "sim") == brute_self(rows, name, keep)
+    split = train_query_split(sets.docs, 0.6)
+    side = {r["doc_id"]: r["side"] for r in split.collect()}
+    found = similar_pairs(collapse_copies(sets, split), name, threshold, comparison, two_sided=True)
+    want = [similarity(name, rows[x], rows[y]) for x in ids for y in ids if (side[x], side[y]) == ("query", "train")]
+    assert sum(r["n_pairs"] for r in found.collect()) == sum(map(keep, want))
+
+
+@pytest.mark.parametrize("n_features", [6, 4_000])
+def test_overlaps_are_counted_in_a_table_or_by_sorting(monkeypatch, n_features):
+    rng = np.random.RandomState(n_features)
+    left, right = ([set(rng.randint(0, n_features, 5).tolist()) for _ in range(60)] for _ in "ab")
+    starts, features = np.concatenate(([0], np.cumsum([len(s) for s in left]))), np.array([f for s in left for f in sorted(s)])
+    held = sorted((f, r) for r, s in enumerate(right) for f in s)
+    met = cells.counted_overlaps((starts, features), (np.array([f for f, _ in held]), np.array([r for _, r in held]), 60), 90)
+    got = {(int(a), int(b)): int(n) for part in met for a, b, n in zip(*part)}
+    assert got == {(a, b): len(left[a] & right[b]) for a in range(60) for b in range(60) if left[a] & right[b]}
+
+
+def test_rare_features_are_sent_to_few_cells(make_sets, monkeypatch):
+    """Rows that share with one other only: their ids go to two tiles, however many tiles there are."""
+    rows = {d: {d // 2 * 3 + k for k in range(3)} | {1_000 + d} for d in range(300)}
+
+    def counting(of_pairs, columns, two_sided, block):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = pa.Table.from_batches(list(batches))
+            n = sum(len(x) for x, kind in zip(held["ids"].to_pylist(), held["kind"].to_pylist()) if kind == 2)
+            yield pa.RecordBatch.from_pydict({"overlap": [1], "size": [n], "n_pairs": [n]})
+
+        return run
+
+    monkeypatch.setattr(cells, "cell_run", counting)
+    classes = collapse_copies(make_sets(rows, 2_000))
+    found = histogram.met_in_cells(classes.classes, classes.items, ["card", "n_left", "n_right"], None, histogram.SUMS, False, 3)
+    sent = [r["n_pairs"] for r in found.collect()]
+    assert 0 < sum(sent) <= 300 * 3 * 2
