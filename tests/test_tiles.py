@@ -1,5 +1,7 @@
 """Tiled retrieval against a comparison of all pairs of sketches."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from bitfold.operators import tiles
@@ -71,3 +73,13 @@ def test_thresholds_that_list_every_pair_are_refused(make_sets):
         tiles.tiled_neighbors(get_model("MinHash"), classes, "hamming_distance", 3, 8)
     none = tiles.tiled_neighbors(get_model("BCS"), classes, "jaccard_similarity", 0.5, 8, two_sided=False)
     assert none.isEmpty()
+
+
+def test_pairs_of_a_cell_leave_block_by_block(monkeypatch):
+    monkeypatch.setattr(tiles, "BLOCK", 100)
+    n = 40
+    rows = {"p": [0] * 2 * n, "q": [1] * 2 * n, "is_left": [True] * n + [False] * n, "doc_id": range(2 * n), "n": [1] * 2 * n, "card": [3] * 2 * n, "sketch": [[7]] * 2 * n}
+    cell = tiles.cell_compare(tiles.PairTest("BCS", "jaccard_similarity", 10, 0.1), False)
+    found = list(cell(iter(pa.Table.from_pydict(rows).to_batches())))
+    assert max(b.num_rows for b in found) <= 100 and sum(b.num_rows for b in found) == n * n
+    assert len(np.unique(np.concatenate([b["i"].to_numpy() * 1000 + b["j"].to_numpy() for b in found]))) == n * n
