@@ -59,13 +59,16 @@ def gaussian_sums_udf(coefficients: list[list[int]], k: int):
         if not len(features):
             return pd.Series([], dtype=object)
         x, starts = _end_to_end(features)
+        # a feature that many rows have is drawn for once a batch
+        x, which = np.unique(x, return_inverse=True)
+        which = which.reshape(-1)
         out = np.empty((len(features), 2 * len(coefficients)), dtype=np.int64)
         for pair, (ra, rb, ta, tb) in enumerate(coefficients):
             radius = np.sqrt(-2.0 * np.log(((ra * x + rb) % PRIME31 + 1) / float(PRIME31)))
             angle = 2 * math.pi * (((ta * x + tb) % PRIME31) / float(PRIME31))
             for lane, wave in ((2 * pair, np.cos(angle)), (2 * pair + 1, np.sin(angle))):
                 draws = np.rint(radius * wave * GAUSS_SCALE).astype(np.int64)
-                out[:, lane] = np.add.reduceat(draws, starts)
+                out[:, lane] = np.add.reduceat(draws[which], starts)
         return pd.Series(list(out[:, :k]))
 
     return gaussian_sums

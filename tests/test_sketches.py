@@ -150,3 +150,18 @@ def test_several_lengths_read_the_items_once(make_sets, random_rows):
     assert plan.count("LogicalRDD") == 2  # the rows and their items
     with pytest.raises(ValueError):
         BinSketch(bucket_map=sets.vocab).mappings(sets, (5, 6))
+
+
+def test_projections_are_drawn_once_for_each_feature_of_a_batch(monkeypatch):
+    import pandas as pd
+
+    from bitfold.functions import lanes
+
+    rng, drawn, log = np.random.RandomState(1), [], np.log
+    rows = [rng.choice(30, size=n, replace=False).astype(np.int64) * 1_000_003 for n in rng.randint(1, 20, size=50)]
+    coefficients = lanes.draw_coefficients(3, 4, 4)
+    sums = lanes.gaussian_sums_udf(coefficients, 7).func
+    alone = [sums(pd.Series([r]))[0].tolist() for r in rows]
+    monkeypatch.setattr(np, "log", lambda x, *a: drawn.append(len(x)) or log(x, *a))
+    assert [v.tolist() for v in sums(pd.Series(rows))] == alone
+    assert max(drawn) <= 30 < sum(map(len, rows))
