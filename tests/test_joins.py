@@ -1,5 +1,6 @@
 import math
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -273,3 +274,13 @@ def test_rare_features_are_sent_to_few_cells(make_sets, monkeypatch):
     found = histogram.met_in_cells(classes.classes, classes.items, ["card", "n_left", "n_right"], None, histogram.SUMS, False, 3)
     sent = [r["n_pairs"] for r in found.collect()]
     assert 0 < sum(sent) <= 300 * 3 * 2
+
+
+def test_repeated_items_are_shared_once(make_sets):
+    """Rows that come twice: their sizes count the repeats, as ever, what two of them share does not."""
+    rows = {0: {1, 2, 3, 4}, 1: {1, 2, 3, 5}, 2: {1, 6}}
+    sets = make_sets(rows, 8)
+    twice = replace(sets, items=sets.items.unionByName(sets.items.where("doc_id < 2")))
+    found = similar_pairs(collapse_copies(twice), "jaccard_similarity", 0.05, "gt").collect()
+    got = {(r["i"], r["j"]): (r["overlap"], r["card_i"], r["card_j"]) for r in found}
+    assert got == {(0, 1): (3, 8, 8), (0, 2): (1, 8, 2), (1, 2): (1, 8, 2)}
