@@ -83,3 +83,51 @@ def test_pairs_of_a_cell_leave_block_by_block(monkeypatch):
     found = list(cell(iter(pa.Table.from_pydict(rows).to_batches())))
     assert max(b.num_rows for b in found) <= 100 and sum(b.num_rows for b in found) == n * n
     assert len(np.unique(np.concatenate([b["i"].to_numpy() * 1000 + b["j"].to_numpy() for b in found]))) == n * n
+
+
+@pytest.mark.parametrize("algorithm,similarity,k,threshold", [
+    ("MinHash", "jaccard_similarity", 300, 0.2), ("MinHash", "cosine_similarity", 20, 0.3),
+    ("SimHash", "cosine_similarity", 200, 0.1), ("SimHash", "hamming_distance", 130, 12), ("BCS", "cosine_similarity", 90, 0.4), ("BinSketch", "jaccard_similarity", 90, 0.3),
+])
+@pytest.mark.parametrize("few", [1, 16])
+def test_blocks_of_a_cell_count_what_whole_words_give(monkeypatch, algorithm, similarity, k, threshold, few):
+    for what, value in {"BLOCK": 60, "BLOCK_COLUMNS": 7, "FEW": few, "VERIFIED": 3}.items():
+        monkeypatch.setattr(tiles, what, value)
+    rng = np.random.default_rng(1)
+    if algorithm == "MinHash":
+        # lanes of equal bytes and unequal values are among them
+        words = rng.integers(0, 2, (40, k)) + 2**20 * rng.integers(0, 2, (40, k))
+        cards = np.zeros(40, np.int64)
+        count = lambda a, b: int((a == b).sum())
+        passes = lambda n, a, b: n >= tiles.least_lanes(similarity, k, threshold)
+    else:
+        base = rng.random((4, k)) < rng.uniform(0.1, 0.9, (4, 1))
+        flags = base[rng.integers(0, 4, 40)] ^ (rng.random((40, k)) < 0.05)
+        words = np.stack([(flags[:, w : w + 63].astype(np.int64) << np.arange(min(63, k - w))).sum(axis=1) for w in range(0, k, 63)], axis=1)
+        cards = flags.sum(axis=1)
+        order = np.argsort(cards, kind="stable")
+        words, cards = words[order], cards[order]
+        if algorithm == "SimHash":
+            count = lambda a, b: int(np.bitwise_count(a ^ b).sum())
+            passes = lambda n, a, b: n <= tiles.most_differing(similarity, k, threshold)
+        else:
+            count = lambda a, b: int(np.bitwise_count(a & b).sum())
+            passes = lambda n, a, b: n >= test.least(cards[a : a + 1], cards[b : b + 1])[0, 0]
+    test = tiles.PairTest(algorithm, similarity, k, threshold)
+    side = words, test.lanes(words), cards
+    got = [row for a, b, n in tiles.cell_blocks(test, side, side) for row in zip(a.tolist(), b.tolist(), n.tolist())]
+    every = [(a, b, count(words[a], words[b])) for a in range(40) for b in range(40)]
+    wanted = [row for row in every if passes(row[2], row[0], row[1])]
+    assert sorted(got) == wanted and wanted
+
+
+def test_a_cell_of_wide_tiles_counts_only_rows_that_can_match(monkeypatch):
+    counted, hits = [], tiles.PairTest.hits
+    monkeypatch.setattr(tiles.PairTest, "hits", lambda self, a, b: counted.append(len(a[0]) * len(b[0])) or hits(self, a, b))
+    monkeypatch.setattr(tiles, "BLOCK", 8 * 300)
+    words = np.array([[(1 << c // 5) - 1] for c in range(300)])
+    test = tiles.PairTest("SimHash", "hamming_distance", 63, 3)
+    side = words, test.lanes(words), np.bitwise_count(words[:, 0]).astype(np.int64)
+    found = sum(len(a) for a, _, _ in tiles.cell_blocks(test, side, side))
+    assert found == sum(abs(c // 5 - d // 5) <= 3 for c in range(300) for d in range(300))
+    assert sum(counted) < 300 * 300 // 4
