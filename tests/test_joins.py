@@ -284,3 +284,21 @@ def test_repeated_items_are_shared_once(make_sets):
     found = similar_pairs(collapse_copies(twice), "jaccard_similarity", 0.05, "gt").collect()
     got = {(r["i"], r["j"]): (r["overlap"], r["card_i"], r["card_j"]) for r in found}
     assert got == {(0, 1): (3, 8, 8), (0, 2): (1, 8, 2), (1, 2): (1, 8, 2)}
+
+
+def test_short_runs_of_signs_are_not_met(make_sets, random_rows, monkeypatch):
+    from bitfold.operators import retrieve
+
+    sets = make_sets(random_rows(), 150)
+    classes, model = collapse_copies(sets, train_query_split(sets.docs, 0.6)), get_model("SimHash")
+
+    def pairs():
+        rows = estimated_neighbors(model, classes, "cosine_similarity", 0.8, 128)
+        return sorted(map(tuple, rows.collect())), rows.dtypes
+
+    by_tiles = pairs()
+    monkeypatch.setattr(retrieve, "LEAST_RUN_BITS", 0)
+    assert pairs() == by_tiles and by_tiles[0]
+    monkeypatch.undo()
+    monkeypatch.setattr(retrieve, "_by_equal_runs", None)
+    assert pairs() == by_tiles
