@@ -1,5 +1,7 @@
 """Tiled retrieval against a comparison of all pairs of sketches."""
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -131,3 +133,22 @@ def test_a_cell_of_wide_tiles_counts_only_rows_that_can_match(monkeypatch):
     found = sum(len(a) for a, _, _ in tiles.cell_blocks(test, side, side))
     assert found == sum(abs(c // 5 - d // 5) <= 3 for c in range(300) for d in range(300))
     assert sum(counted) < 300 * 300 // 4
+
+
+@pytest.mark.parametrize("algorithm,name,k,thresholds", [
+    ("BCS", "jaccard_similarity", 40, [0.5, 0.3, 1.5]), ("BinSketch", "cosine_similarity", 64, [0.2, 0.5]),
+    ("MinHash", "jaccard_similarity", 20, [0.1, 0.5]), ("SimHash", "cosine_similarity", 60, [0.5, 0.8]),
+])
+def test_hits_are_summed_up_in_cells(make_sets, random_rows, algorithm, name, k, thresholds):
+    sets = make_sets(random_rows(), 150)
+    model, classes = get_model(algorithm), collapse_copies(sets, train_query_split(sets.docs, 0.6))
+    listed = tiles.tiled_neighbors(model, classes, name, min(thresholds), k, tile_rows=50).select("i", "n_i", "n_j", "est").collect()
+    summed = tiles.tiled_hits(model, classes, name, thresholds, k, tile_rows=50).collect()
+
+    def per_query(rows):
+        held = Counter()
+        for i, n_i, n_j, est in rows:
+            held.update({(i, n_i, t): n_j for t in thresholds if est >= t})
+        return held
+
+    assert per_query(listed) == per_query(summed) and len(summed) < len(listed)
