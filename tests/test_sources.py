@@ -157,3 +157,13 @@ def test_bucket_map_and_filtered_truth_are_saved(spark, make_sets, tmp_path):
     save_filtered_truth(pairs.where("sim >= 0.5"), filter_report(pairs, 0.5), str(tmp_path / "kept"))
     assert [(r["i"], r["j"], r["sim"]) for r in spark.read.json(str(tmp_path / "kept/pairs")).collect()] == [(0, 2, 0.9)]
     assert spark.read.json(str(tmp_path / "kept/report")).first()["filtered_count"] == 1
+
+
+def test_random_sets_are_drawn_in_parts_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(tables, "RANGE_ROWS", 10)
+    numbers = tables.numbered(spark, 1000)
+    assert numbers.rdd.getNumPartitions() >= 100 and sorted(r["id"] for r in numbers.collect()) == list(range(1000))
+    written = []
+    write = tables.materialize
+    monkeypatch.setattr(tables, "materialize", lambda df, name: written.append(name) or write(df, name))
+    assert tables.synthetic_sets(spark, 50, 40, 0.1, 3).items.count() == 200 and written == ["drawn"]
