@@ -302,3 +302,17 @@ def test_short_runs_of_signs_are_not_met(make_sets, random_rows, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(retrieve, "_by_equal_runs", None)
     assert pairs() == by_tiles
+
+
+@pytest.mark.parametrize("name,threshold", [("jaccard_similarity", 0.6), ("cosine_similarity", 0.8), ("inner_product", 12)])
+def test_candidates_are_counted_in_cells(make_sets, random_rows, monkeypatch, name, threshold):
+    """No meeting is listed, and only the sets of candidates are gathered to be verified."""
+    monkeypatch.setattr(postings, "meet_on_key", None)
+    for what, value in {"TILE_ROWS": 9, "LIST_ROWS": 3, "CELL_IDS": 40, "BLOCK": 50}.items():
+        monkeypatch.setattr(cells, what, value)
+    rows = random_rows(seed=6) | {900: {140, 141, 142}}
+    gathered, gather = [], overlap.aligned_set_arrays
+    monkeypatch.setattr(overlap, "aligned_set_arrays", lambda items, n: gathered.append({r["doc_id"] for r in items.collect()}) or gather(items, n))
+    got = collected(similar_pairs(collapse_copies(make_sets(rows, 150)), name, threshold, "ge"), "sim")
+    assert got == brute_self(rows, name, lambda s: s >= threshold)
+    assert not hasattr(overlap, "meet_on_key") and len(gathered) == 1 and 900 not in gathered[0]
