@@ -316,3 +316,35 @@ def test_candidates_are_counted_in_cells(make_sets, random_rows, monkeypatch, na
     got = collected(similar_pairs(collapse_copies(make_sets(rows, 150)), name, threshold, "ge"), "sim")
     assert got == brute_self(rows, name, lambda s: s >= threshold)
     assert not hasattr(overlap, "meet_on_key") and len(gathered) == 1 and 900 not in gathered[0]
+
+
+def test_frequent_features_are_counted_as_bits(monkeypatch):
+    """Where most rows hold a feature its meetings are not listed one by one; repeated items still count as often as they meet."""
+    left, right = ([[1, 2, 3 + r % 4, 100 + r] for r in range(40)] for _ in "ab")
+    starts, features = np.arange(41) * 4, np.array([f for s in left for f in s])
+    held = sorted((f, r) for r, s in enumerate(right) for f in s)
+    table = np.array([f for f, _ in held]), np.array([r for _, r in held]), 40
+    want = {(a, b): len(set(left[a]) & set(right[b])) for a in range(40) for b in range(40)}
+    listed, repeat = [], np.repeat
+    monkeypatch.setattr(cells.np, "repeat", lambda *given: listed.append(len(out := repeat(*given))) or out)
+    met = list(cells.counted_overlaps((starts, features), table, 1 << 19))
+    assert {(int(a), int(b)): int(n) for part in met for a, b, n in zip(*part)} == want
+    assert max(listed) < 40 * 40
+    few = list(cells.counted_overlaps((starts, features), table, 70, lambda rows: np.full((len(range(40)[rows]), 40), 3)))
+    assert {(int(a), int(b)): int(n) for part in few for a, b, n in zip(*part)} == {p: n for p, n in want.items() if n >= 3}
+    twice = np.concatenate((features, [1])), np.concatenate((starts[:-1], [161]))
+    met = list(cells.counted_overlaps((twice[1], twice[0]), table, 1 << 19))
+    assert {(int(a), int(b)): int(n) for part in met for a, b, n in zip(*part)} == {p: n + (p[0] == 39) for p, n in want.items()}
+
+
+def test_written_tables_leave_no_shuffle_files(make_sets, random_rows, monkeypatch):
+    """Each step of a join writes its table with the removal of its shuffle files switched on, and leaves the setting as it was."""
+    from bitfold import session
+
+    sets, seen, write = make_sets(random_rows(), 150), set(), session.scratch_path
+    monkeypatch.setattr(session, "scratch_path", lambda spark, name: seen.add(spark.conf.get(session.CLEANUP_KEY)) or write(spark, name))
+    spark = sets.docs.sparkSession
+    with session.shuffles_removed(spark):
+        session.materialize(sets.items.distinct(), "inside")
+    session.materialize(sets.items.distinct(), "outside")
+    assert seen == {"true", "false"} and spark.conf.get(session.CLEANUP_KEY) == "false"
