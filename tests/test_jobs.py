@@ -181,3 +181,13 @@ def test_spread_of_nearly_equal_values_keeps_its_digits(spark):
     values = [0.5 + k * 1e-9 for k in range(5)]
     got = pair_profile(spark.createDataFrame([(v, 3) for v in values], "sim double, n_pairs bigint")).first()
     assert got["std_sim"] == pytest.approx(statistics.pstdev(values), rel=1e-6)
+
+
+def test_error_sums_are_written_length_by_length(make_sets, random_rows, monkeypatch):
+    from bitfold.plans import accuracy
+
+    written, write = [], accuracy.materialize
+    monkeypatch.setattr(accuracy, "materialize", lambda df, name: written.append(name) or write(df, name))
+    grid = accuracy.accuracy_grid(collapse_copies(make_sets(random_rows(n=20), 150)), ["BCS"], [0.2, 0.5], "jaccard_similarity", "mse", [20, 70])
+    assert written.count("error-sums") == 2
+    assert {(r["k"], r["threshold"]) for r in grid.collect()} == {(k, t) for k in (20, 70) for t in (0.2, 0.5)}
