@@ -304,6 +304,19 @@ def test_short_runs_of_signs_are_not_met(make_sets, random_rows, monkeypatch):
     assert pairs() == by_tiles
 
 
+@pytest.mark.parametrize("algorithm,name,threshold,k", [("BinSketch", "jaccard_similarity", 0.2, 100), ("BCS", "cosine_similarity", 0.4, 64), ("MinHash", "jaccard_similarity", 0.2, 32)])
+def test_low_thresholds_of_sketches_are_not_indexed(make_sets, random_rows, monkeypatch, algorithm, name, threshold, k):
+    from bitfold.operators import retrieve
+
+    sets = make_sets(random_rows(), 150)
+    classes, model = collapse_copies(sets, train_query_split(sets.docs, 0.6)), get_model(algorithm)
+    indexed = estimated_neighbors(model, classes, name, threshold, k, method="index")
+    want = sorted(map(tuple, indexed.collect()))
+    monkeypatch.setattr(retrieve, "_by_shared_tokens", None)
+    got = estimated_neighbors(model, classes, name, threshold, k)
+    assert sorted(map(tuple, got.collect())) == want and want and got.dtypes == indexed.dtypes
+
+
 @pytest.mark.parametrize("name,threshold", [("jaccard_similarity", 0.6), ("cosine_similarity", 0.8), ("inner_product", 12)])
 def test_candidates_are_counted_in_cells(make_sets, random_rows, monkeypatch, name, threshold):
     """No meeting is listed, and only the sets of candidates are gathered to be verified."""
