@@ -361,3 +361,40 @@ def test_written_tables_leave_no_shuffle_files(make_sets, random_rows, monkeypat
         session.materialize(sets.items.distinct(), "inside")
     session.materialize(sets.items.distinct(), "outside")
     assert seen == {"true", "false"} and spark.conf.get(session.CLEANUP_KEY) == "false"
+
+
+@pytest.mark.parametrize("two_sided", [False, True])
+def test_cells_are_counted_in_rounds(make_sets, random_rows, monkeypatch, two_sided):
+    """Where all cells would be sent many times the items, a few left tiles are counted at a time, with the same pairs."""
+    sets, written, write = make_sets(random_rows(seed=4), 150), [], cells.materialize
+    classes = collapse_copies(sets, train_query_split(sets.docs, 0.6) if two_sided else None)
+    monkeypatch.setattr(cells, "materialize", lambda df, name: written.append(name) or write(df, name))
+    found = lambda: sorted(map(tuple, similar_pairs(classes, "jaccard_similarity", 0.1, "gt", two_sided).collect()))
+    at_once = found()
+    assert at_once and "round" not in written
+    for what, value in {"TILE_ROWS": 5, "LIST_ROWS": 3, "ROUND_IDS": 40, "ROUND_SHARE": 0}.items():
+        monkeypatch.setattr(cells, what, value)
+    assert found() == at_once and written.count("round") > 3
+
+
+def test_binary_digits_of_counts(monkeypatch):
+    rng = np.random.default_rng(3)
+    masks = rng.integers(0, 1 << 63, (9, 2), dtype=np.uint64)
+    masks[0] = 0
+    items = rng.integers(0, 9, (23, 5))
+    bits = lambda words: np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=-1, bitorder="little")
+    want = bits(masks)[items].sum(axis=0)
+    digits = cells.added_up(masks, items)
+    assert (sum(bits(d).astype(int) << k for k, d in enumerate(digits)) == want).all() and want.max() > 8
+    least = rng.integers(0, 40, (5, 2))
+    assert (bits(cells.reaching_bits(digits, least)) == (want >= np.repeat(least, 64, axis=1))).all()
+    left = [rng.integers(0, 12, rng.integers(1, 30)) for _ in range(70)]
+    held = sorted((int(f), r) for r, s in enumerate(left) for f in s)
+    table = np.array([f for f, _ in held]), np.array([r for _, r in held]), 70
+    starts, features = np.concatenate(([0], np.cumsum([len(s) for s in left]))), np.concatenate(left)
+    want = np.array([[sum(np.count_nonzero(a == f) * np.count_nonzero(b == f) for f in range(12)) for b in left] for a in left])
+    for frequent in (1, 5):
+        monkeypatch.setattr(cells, "FREQUENT", frequent)
+        for need in (1, 9, 30):
+            met = cells.counted_overlaps((starts, features), table, 5_000, lambda rows: np.full((len(range(70)[rows]), 70), need))
+            assert {(int(a), int(b)): int(n) for part in met for a, b, n in zip(*part)} == {(a, b): want[a, b] for a, b in zip(*np.nonzero(want >= need))}

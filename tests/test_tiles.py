@@ -152,3 +152,23 @@ def test_hits_are_summed_up_in_cells(make_sets, random_rows, algorithm, name, k,
         return held
 
     assert per_query(listed) == per_query(summed) and len(summed) < len(listed)
+
+
+@pytest.mark.parametrize("algorithm,name,k", [("BCS", "jaccard_similarity", 20), ("BinSketch", "cosine_similarity", 24), ("MinHash", "cosine_similarity", 30), ("SimHash", "cosine_similarity", 90)])
+def test_levels_of_sums_are_looked_up(monkeypatch, algorithm, name, k):
+    """The table gives the sums of single estimates, and no pair is estimated on its own."""
+    rng, n, thresholds = np.random.default_rng(k), 400, [0.3, 0.1, 0.7]
+    cards, a, b = rng.integers(1, k, 12), np.sort(rng.integers(0, 12, n)), rng.integers(0, 12, n)
+    shared = rng.integers(0, np.minimum(cards[a], cards[b]) + 1)
+    estimated, near = [], tiles.estimates_near
+    monkeypatch.setattr(tiles, "estimates_near", lambda *given: estimated.append(len(given[3])) or near(*given))
+
+    def summed():
+        sums = tiles.LevelSums(tiles.PairTest(algorithm, name, k, 0.1), thresholds, np.arange(12), np.ones(12, np.int64), cards)
+        edge = [sums.add(a[part], np.full(len(a[part]), 2), cards[b[part]], shared[part]) for part in (slice(0, 150), slice(150, n))]
+        return [np.concatenate([e[c] for e in edge]).tolist() for c in range(7)], [c.tolist() for c in sums.rows()]
+
+    by_table = summed()
+    assert n not in estimated and 150 not in estimated and len(estimated) == 1
+    monkeypatch.setattr(tiles, "LEVELS", 0)
+    assert summed() == by_table and sum(by_table[1][3]) > 0
