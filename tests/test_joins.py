@@ -398,3 +398,16 @@ def test_binary_digits_of_counts(monkeypatch):
         for need in (1, 9, 30):
             met = cells.counted_overlaps((starts, features), table, 5_000, lambda rows: np.full((len(range(70)[rows]), 70), need))
             assert {(int(a), int(b)): int(n) for part in met for a, b, n in zip(*part)} == {(a, b): want[a, b] for a, b in zip(*np.nonzero(want >= need))}
+
+
+@pytest.mark.parametrize("name,threshold", [("jaccard_similarity", 0.4), ("cosine_similarity", 0.6)])
+def test_few_meetings_of_two_sides_are_listed(make_sets, random_rows, monkeypatch, name, threshold):
+    """Whether meetings are listed, in blocks of hot features, or counted in cells: the same pairs."""
+    sets = make_sets(random_rows(seed=8), 150)
+    classes = collapse_copies(sets, train_query_split(sets.docs, 0.6))
+    monkeypatch.setattr(postings, "BLOCK_ROWS", 3)
+    found = lambda: sorted(map(tuple, similar_pairs(classes, name, threshold, "ge", True).collect()))
+    listed = found()
+    monkeypatch.setattr(overlap, "FEW_MEETINGS", -1)
+    monkeypatch.setattr(postings, "meet_on_key", None)
+    assert found() == listed and listed
